@@ -1,0 +1,74 @@
+"""Fact tables derived from the star-schema tables, so that every pass can be checked on
+them against an independent SQL engine. All rows of the tables are used.
+
+The SQL below is plain enough for both engines; ``{x}`` is a table's name.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import ship_package
+
+#: Every part is a function. Nine names for ten parts make homonyms.
+FUNCTIONS = """
+SELECT CASE WHEN p_partkey % 97 = 5 THEN 'main' WHEN p_partkey % 101 = 7 THEN 'handler' WHEN p_partkey % 103 = 9 THEN 'GET' WHEN p_partkey % 107 = 11 THEN 'run'
+    ELSE 'fn_' || CAST(p_partkey % CAST(floor(n * 0.9) AS BIGINT) AS VARCHAR(20)) END AS name,
+  '/repo/' || CASE WHEN p_size % 11 = 3 THEN 'cmd/' WHEN p_size % 13 = 4 THEN 'examples/' ELSE '' END || replace(p_brand, '#', '') || '/'
+    || CASE WHEN p_size % 17 = 2 THEN 'server' ELSE lower(p_type) || CAST(p_size AS VARCHAR(20)) END
+    || CASE WHEN p_size % 7 = 0 THEN '.test.ts' ELSE '.ts' END AS file_path,
+  CASE p_partkey % 4 WHEN 0 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'cpp' ELSE 'go' END AS language,
+  CAST(p_partkey % 1000 + 1 AS INT) AS start_line, CAST(p_size + 3 AS INT) AS line_count, CAST(p_size % 30 + 1 AS INT) AS complexity,
+  p_partkey % 3 = 0 AS is_exported, p_partkey % 31 = 0 AS is_default_export, CAST(p_partkey AS BIGINT) AS fn_ord, CAST(p_partkey AS BIGINT) AS fn_key
+FROM {part}, (SELECT count(*) AS n FROM {part}) AS c"""
+
+#: Every line item is a call, of few different names: squares modulo n leave many parts
+#: uncalled. Line number 4 spells the name in another style.
+CALLS = """
+SELECT f.file_path AS file_path, f.language AS language, f.name || '@' || f.file_path AS caller,
+  CASE WHEN l_linenumber = 4 THEN 'FN-' ELSE 'fn_' END
+    || CAST((l_partkey * l_partkey * (1 + l_linenumber % 2) + CASE WHEN l_linenumber = 4 THEN 5 * l_partkey ELSE 0 END) % CAST(floor(n * 0.9) AS BIGINT) AS VARCHAR(20)) AS callee
+FROM {lineitem} JOIN {functions} AS f ON l_partkey = f.fn_key, (SELECT count(*) AS n FROM {part}) AS c"""
+
+FILES = """
+SELECT '/repo/' || source || '/' || CASE WHEN n_chars % 19 = 1 THEN 'fixtures/' ELSE '' END
+    || CASE WHEN n_chars % 23 = 2 THEN 'user_service' WHEN n_chars % 23 = 3 THEN 'index' WHEN n_chars % 23 = 4 THEN 'model' WHEN n_chars % 23 = 5 THEN 'config' ELSE 'doc' END
+    || CAST(doc_id AS VARCHAR(20)) || CASE WHEN n_chars % 7 = 0 THEN '.spec.js' ELSE '.js' END AS file_path,
+  CASE lang WHEN 'en' THEN 'javascript' WHEN 'de' THEN 'python' WHEN 'fr' THEN 'php' ELSE 'ruby' END AS language,
+  text || CASE WHEN n_chars % 7 = 1 THEN '
+api_key = "' || md5(CAST(doc_id AS VARCHAR(20))) || '"' WHEN n_chars % 7 = 2 THEN '
+x = eval(y)' WHEN n_chars % 7 = 3 THEN '
+q = "SELECT a FROM t WHERE b = " + c' WHEN n_chars % 7 = 4 THEN '
+token = "AKIA' || upper(substr(md5(CAST(doc_id AS VARCHAR(20))), 1, 16)) || '" if (a && b || c) else while (x ?? y) => z' ELSE '' END AS content,
+  doc_id, n_chars FROM {documents}"""
+
+IMPORTS = """
+SELECT '/repo/' || lower(part_of) || '/' || CAST(page_id AS VARCHAR(20)) || '.ts' AS file_path, source FROM (
+  SELECT page_id, 'web' AS part_of, url, CASE WHEN page_id % 5 = 0 THEN './' || CAST(page_id + 1 AS VARCHAR(20))
+    WHEN page_id % 5 = 1 THEN '@' || substr(url, 9, 7) || '/lib/x' WHEN page_id % 5 = 2 THEN 'node:fs' WHEN page_id % 5 = 3 THEN 'path'
+    ELSE substr(url, 9, 5) || '/sub' END AS source FROM {pages}) AS p"""
+
+TOUCHES = """
+SELECT CAST(event_id - event_id % 3 AS VARCHAR(20)) AS commit_hash, event_type || '-' || CAST(user_id AS VARCHAR(20)) AS author_name, CAST(user_id AS VARCHAR(20)) AS author_email,
+  CAST(ts AS VARCHAR(40)) AS date, props AS file_path, CAST(event_id AS BIGINT) AS ord FROM {events}"""
+
+TABLES: dict[str, str] = {"functions": FUNCTIONS, "calls": CALLS, "files": FILES, "imports": IMPORTS, "touches": TOUCHES}
+
+
+def facts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the fact tables over the parquet files in ``sf_dir``."""
+    sql = TABLES[name].replace("VARCHAR(20)", "STRING").replace("VARCHAR(40)", "STRING")
+    used = {t: ship_package(spark).read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem", "documents", "pages", "events") if f"{{{t}}}" in sql}
+    if "{functions}" in sql:
+        used["functions"] = facts(spark, sf_dir, "functions")
+    return spark.sql(sql, **used)
+
+
+def oracle(name: str) -> str:
+    """The same table as SQL text for another engine."""
+    out = TABLES[name]
+    if "{functions}" in out:
+        out = out.replace("{functions}", f"({oracle('functions')})")
+    for t in ("part", "lineitem", "documents", "pages", "events"):
+        out = out.replace(f"{{{t}}}", t)
+    return out
