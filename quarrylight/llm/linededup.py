@@ -3,9 +3,10 @@
 Lines are normalised (letters in lower case, punctuation dropped) and signed by a SimHash
 of 128 bits over their words. Equal normalised lines are one node. Nodes that agree in at
 least one of ``RADIUS + 1`` blocks of the signature (pigeonhole: every pair within RADIUS
-bits does) and lie within ``screen`` bits are candidates; a candidate pair is linked when the
-edit similarity of the normalised lines, 1 - levenshtein / longer length, is at least
-``similarity``. Connected nodes form a group, and of all its occurrences the first one stays,
+bits does), lie within ``screen`` bits, and within PAIR_SCREEN bits of a second SimHash of 64
+bits over word pairs, are candidates; a candidate pair is linked when the edit similarity of
+the normalised lines, 1 - levenshtein / longer length, is at least ``similarity``. Lines of
+more than LONG bytes, for which that costs too much, are linked within RADIUS bits. Connected nodes form a group, and of all its occurrences the first one stays,
 in the order (doc_id with nulls last, row hash, line number).
 
 Beyond 2 ** 30 nodes single blocks would be too coarse a key, so keys combine ``agree``
@@ -37,12 +38,14 @@ from pyspark.sql.window import Window
 
 from .common import cut, discard, row_id, sized
 from .components import components
-from .textkernel import chunks, fold, popcount, sequence_hashes, simhash, span_hashes, spans
+from .textkernel import bigrams, chunks, fold, popcount, sequence_hashes, simhash, span_hashes, spans
 
 BITS = 128
 RADIUS = 7
-SCREEN = 18
-SIMILARITY = 0.9
+SCREEN = 20
+PAIR_SCREEN = 20
+SIMILARITY = 0.92
+LONG = 8000
 MIN_WORDS = 4
 
 
@@ -71,8 +74,8 @@ def _signer(min_words: int):
                 zero = pa.array(np.zeros(rows, np.int64))
                 mark = pa.array(np.full(rows, -1, np.int32))
                 yield pa.record_batch(
-                    [part.column("__id"), part.column("__rid"), mark, zero, zero, zero, zero, mark],
-                    names=["__id", "__rid", "__line", "h1", "h2", "s1", "s2", "size"],
+                    [part.column("__id"), part.column("__rid"), mark, zero, zero, zero, zero, zero, mark],
+                    names=["__id", "__rid", "__line", "h1", "h2", "s1", "s2", "s3", "size"],
                 )
                 take = np.flatnonzero(w1 - w0 >= min_words)
                 if not len(take):
@@ -83,6 +86,7 @@ def _signer(min_words: int):
                 idx = np.arange(wb[-1]) + np.repeat(w0[take] - wb[:-1], n)
                 hw = h[idx]
                 sig = simhash(hw, wb, BITS // 64).view(np.int64)
+                pair_sig = simhash(*bigrams(hw, wb), 1).view(np.int64)
                 size = np.add.reduceat((e - s)[idx], wb[:-1]) + n - 1
                 doc = np.searchsorted(first, take, side="right") - 1
                 yield pa.record_batch(
@@ -94,9 +98,10 @@ def _signer(min_words: int):
                         pa.array(sequence_hashes(hw, wb, 1).view(np.int64)),
                         pa.array(sig[:, 0]),
                         pa.array(sig[:, 1]),
+                        pa.array(pair_sig[:, 0]),
                         pa.array(size.astype(np.int32)),
                     ],
-                    names=["__id", "__rid", "__line", "h1", "h2", "s1", "s2", "size"],
+                    names=["__id", "__rid", "__line", "h1", "h2", "s1", "s2", "s3", "size"],
                 )
 
     return run
@@ -107,11 +112,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __rid, __line, h1, h2, s1, s2, size) of every line with enough words; besides,
+    """(__id, __rid, __line, h1, h2, s1, s2, s3, size) of every line with enough words; besides,
     each row of ``docs`` has an entry with __line = -1."""
     d = _rows(docs)
     kind = d.schema["__id"].dataType.simpleString()
-    return d.mapInArrow(_signer(min_words), f"__id {kind}, __rid long, __line int, h1 long, h2 long, s1 long, s2 long, size int")
+    return d.mapInArrow(_signer(min_words), f"__id {kind}, __rid long, __line int, h1 long, h2 long, s1 long, s2 long, s3 long, size int")
 
 
 def key_plan(nodes: int) -> tuple[int, int]:
@@ -149,8 +154,8 @@ def _spread(blocks: int, agree: int):
                 for m in members:
                     key = (key << np.uint64(width)) | values[m]
                 yield pa.record_batch(
-                    [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key.view(np.int64)), *[batch.column(c) for c in ("size", "h1", "s1", "s2")]],
-                    names=["t", "key", "size", "h1", "s1", "s2"],
+                    [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key.view(np.int64)), *[batch.column(c) for c in ("size", "h1", "s1", "s2", "s3")]],
+                    names=["t", "key", "size", "h1", "s1", "s2", "s3"],
                 )
 
     return run
@@ -159,7 +164,7 @@ def _spread(blocks: int, agree: int):
 def _candidates(blocks: int, agree: int, screen: int, similarity: float):
     sets = list(itertools.combinations(range(blocks), agree))
 
-    def emit(t, key, size, h1, s1, s2):
+    def emit(t, key, size, h1, s1, s2, s3):
         n = len(key)
         new = np.ones(n, bool)
         new[1:] = (key[1:] != key[:-1]) | (t[1:] != t[:-1])
@@ -172,15 +177,17 @@ def _candidates(blocks: int, agree: int, screen: int, similarity: float):
             rows = rows[rows + step < ends[rows]]
             rows = rows[size[rows + step] <= longest[rows]]
             other = rows + step
-            near = popcount(s1[rows] ^ s1[other]) + popcount(s2[rows] ^ s2[other]) <= screen
-            a, b = rows[near], other[near]
+            apart = popcount(s1[rows] ^ s1[other]) + popcount(s2[rows] ^ s2[other])
+            near = apart <= screen
+            near[near] = popcount(s3[rows[near]] ^ s3[other[near]]) <= PAIR_SCREEN
+            a, b, apart = rows[near], other[near], apart[near]
             if len(a):
                 # a pair that shares several keys is reported under the first of them
                 same = np.stack([values[m][a] == values[m][b] for m in range(blocks)])
                 for i, members in enumerate(sets):
                     earlier = (t[a] > i) & same[list(members)].all(axis=0)
-                    a, b, same = a[~earlier], b[~earlier], same[:, ~earlier]
-                yield pa.record_batch([pa.array(np.minimum(h1[a], h1[b])), pa.array(np.maximum(h1[a], h1[b]))], names=["a", "b"])
+                    a, b, apart, same = a[~earlier], b[~earlier], apart[~earlier], same[:, ~earlier]
+                yield pa.record_batch([pa.array(np.minimum(h1[a], h1[b])), pa.array(np.maximum(h1[a], h1[b])), pa.array(apart.astype(np.int32))], names=["a", "b", "apart"])
             step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +195,7 @@ def _candidates(blocks: int, agree: int, screen: int, similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy() for c in ("t", "key", "size", "h1")] + [batch.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")]
+            cols = [batch.column(c).to_numpy() for c in ("t", "key", "size", "h1")] + [batch.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2", "s3")]
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
             t, key = cols[:2]
@@ -204,19 +211,19 @@ def _candidates(blocks: int, agree: int, screen: int, similarity: float):
 
 
 def candidate_pairs(nodes: DataFrame, n_nodes: int, screen: int = SCREEN, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) line hashes, each pair once, from nodes(h1, s1, s2, size)."""
+    """(a, b, apart) line hashes and their distance, each pair once, from nodes(h1, s1, s2, s3, size)."""
     blocks, agree = key_plan(n_nodes)
     return (
-        nodes.select("size", "h1", "s1", "s2")
-        .mapInArrow(_spread(blocks, agree), "t int, key long, size int, h1 long, s1 long, s2 long")
+        nodes.select("size", "h1", "s1", "s2", "s3")
+        .mapInArrow(_spread(blocks, agree), "t int, key long, size int, h1 long, s1 long, s2 long, s3 long")
         .repartition("t", "key")
         .sortWithinPartitions("t", "key", "size")
-        .mapInArrow(_candidates(blocks, agree, screen, similarity), "a long, b long")
+        .mapInArrow(_candidates(blocks, agree, screen, similarity), "a long, b long, apart int")
     )
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normalised texts of the wanted lines of each document."""
+    """Normalised texts of the wanted lines of each document, null for long ones."""
     for batch in batches:
         for part, buf, bounds in chunks(batch, "__text"):
             first, ls, le = _lines(buf, bounds)
@@ -226,8 +233,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in wanted:
                     at = first[d] + w["__line"]
                     hs.append(w["h1"])
-                    texts.append(b" ".join(b[ls[at] : le[at]].tobytes().split(b" ")).decode("utf-8", "replace"))
-            yield pa.record_batch([pa.array(hs, pa.int64()), pa.array([" ".join(x.split()) for x in texts], pa.string())], names=["h", "line"])
+                    words = b" ".join(b[ls[at] : le[at]].tobytes().split())
+                    texts.append(words.decode("utf-8", "replace") if len(words) <= LONG else None)
+            yield pa.record_batch([pa.array(hs, pa.int64()), pa.array(texts, pa.string())], names=["h", "line"])
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -238,7 +246,8 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     # exact in integers: distance * 1000 <= longer length * allowed thousandths
     allowed = round((1 - similarity) * 1000)
     x = x.withColumn("__most", F.expr(f"cast(floor(greatest(length(la), length(lb)) * {allowed} / 1000) as int)"))
-    return x.filter(F.expr("levenshtein(la, lb, __most) >= 0")).select("a", "b")
+    long = F.col("la").isNull() | F.col("lb").isNull()
+    return x.filter((long & (F.col("apart") <= RADIUS)) | F.expr("levenshtein(la, lb, __most) >= 0")).select("a", "b")
 
 
 def line_groups(docs: DataFrame, lines: DataFrame, screen: int = SCREEN, similarity: float = SIMILARITY) -> DataFrame:
@@ -248,7 +257,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, screen: int = SCREEN, similar
     nodes = cut(
         lines.filter("__line >= 0")
         .groupBy("h1", "h2")
-        .agg(*[F.first(c).alias(c) for c in ("s1", "s2", "size")], F.min(here).alias("rep"), F.count(F.lit(1)).alias("n"))
+        .agg(*[F.first(c).alias(c) for c in ("s1", "s2", "s3", "size")], F.min(here).alias("rep"), F.count(F.lit(1)).alias("n"))
     )
     pairs = cut(candidate_pairs(nodes, nodes.count(), screen, similarity))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
@@ -260,14 +269,14 @@ def line_groups(docs: DataFrame, lines: DataFrame, screen: int = SCREEN, similar
     )
     found = _rows(docs).join(sized(want), "__rid").select("__text", "__want").mapInArrow(_fetch, "h long, line string")
     texts = cut(found.dropDuplicates(["h"]))
-    first = cut(_similar(pairs.groupBy("b").agg(F.min("a").alias("a")), texts, similarity))
+    first = cut(_similar(pairs.groupBy("b").agg(F.min(F.struct("a", "apart")).alias("x")).select("x.*", "b"), texts, similarity))
     near = cut(components(first))
     root = near.select(F.col("node"), F.col("root"))
     rest = (
         pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
         .join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        .select("a", "b")
+        .select("a", "b", "apart")
     )
     edges = first.unionByName(_similar(rest, texts, similarity))
     roots = cut(components(edges))

@@ -129,6 +129,8 @@ def bigrams(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return h, bounds
     pair = h.copy()
     pair[:-1] = h[:-1] * np.uint64(_MULT) + (h[1:] ^ (h[1:] >> np.uint64(29)))
+    alone = bounds[:-1][n == 1]
+    pair[alone] = h[alone]
     keep = np.ones(len(h), dtype=bool)
     keep[bounds[1:][n > 1] - 1] = False
     out = np.zeros(len(bounds), dtype=np.int64)
