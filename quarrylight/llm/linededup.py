@@ -32,12 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, discard, row_id, sized
 from .components import components
+from .editdistance import within
 from .textkernel import bigrams, chunks, fold, popcount, sequence_hashes, simhash, span_hashes, spans
 
 BITS = 128
@@ -238,16 +240,31 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(hs, pa.int64()), pa.array(texts, pa.string())], names=["h", "line"])
 
 
+def _verify(allowed: int):
+    """Keep the pairs within ``allowed`` thousandths of the longer line; of long ones, those within RADIUS bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            la, lb = (batch.column(c) for c in ("la", "lb"))
+            long = pc.or_(la.is_null(), lb.is_null()).to_numpy(zero_copy_only=False)
+            longer = np.maximum(*[pc.utf8_length(x.fill_null("")).to_numpy(zero_copy_only=False) for x in (la, lb)]).astype(np.int64)
+            ok = long & (batch.column("apart").to_numpy() <= RADIUS)
+            short = np.flatnonzero(~long)
+            if len(short):
+                take = pa.array(short)
+                # exact in integers: distance * 1000 <= longer length * allowed thousandths
+                ok[short] = within(la.take(take).to_pylist(), lb.take(take).to_pylist(), longer[short] * allowed // 1000)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose lines have at least the edit similarity."""
     x = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b"
     )
-    # exact in integers: distance * 1000 <= longer length * allowed thousandths
-    allowed = round((1 - similarity) * 1000)
-    x = x.withColumn("__most", F.expr(f"cast(floor(greatest(length(la), length(lb)) * {allowed} / 1000) as int)"))
-    long = F.col("la").isNull() | F.col("lb").isNull()
-    return x.filter((long & (F.col("apart") <= RADIUS)) | F.expr("levenshtein(la, lb, __most) >= 0")).select("a", "b")
+    return x.select("a", "b", "apart", "la", "lb").mapInArrow(_verify(round((1 - similarity) * 1000)), "a long, b long")
 
 
 def line_groups(docs: DataFrame, lines: DataFrame, screen: int = SCREEN, similarity: float = SIMILARITY) -> DataFrame:

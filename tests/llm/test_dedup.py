@@ -8,6 +8,7 @@ import numpy as np
 
 from quarrylight.llm import linededup, neardup
 from quarrylight.llm.components import components
+from quarrylight.llm.editdistance import within
 
 WORDS = [a + b for a in "ba ke li mo nu ra se ti vo zu".split() for b in "da fe gi ho ju ka lem nip".split()]
 
@@ -213,3 +214,30 @@ def test_fuzzy_line_edges_of_input(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     two = linededup.dedup_lines(frame(spark, [(1, long), (2, long + " tail"), (3, long[:-2])]))
     assert [r["doc_id"] for r in two.collect()] == [1]
+
+
+def levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_bounded_edit_distances_equal_the_full_table():
+    r = random.Random(3)
+    left, right, most = [], [], []
+    for _ in range(600):
+        letters = r.choice(["ab", "abcé漢\U0001f600 "])
+        a = "".join(r.choice(letters) for _ in range(r.randint(0, 40)))
+        b = list(a)
+        for _ in range(r.randint(0, 8)):
+            p, kind = r.randint(0, len(b)), r.random()
+            b[p : p + (kind > 0.4)] = [r.choice(letters)] if kind < 0.7 else []
+        left.append(a)
+        right.append("".join(b))
+        most.append(r.randint(0, 9))
+    want = [levenshtein(a, b) <= k for a, b, k in zip(left, right, most, strict=True)]
+    assert within(left, right, np.array(most)).tolist() == want
