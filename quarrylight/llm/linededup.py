@@ -6,10 +6,10 @@ least one of ``RADIUS + 1`` blocks of the signature (pigeonhole: every pair with
 bits does), lie within ``screen`` bits, and within PAIR_SCREEN bits of a second SimHash of 64
 bits over word pairs, are candidates; a candidate pair is linked when the edit similarity of
 the normalised lines, 1 - levenshtein / longer length, is at least ``similarity``. Lines of
-more than LONG bytes, for which that costs too much, are linked within RADIUS bits. Connected nodes form a group, and of all its occurrences the first one stays,
+more than LONG bytes, for which that costs too much, are linked within LONG_RADIUS bits. Connected nodes form a group, and of all its occurrences the first one stays,
 in the order (doc_id with nulls last, row hash, line number).
 
-Beyond 2 ** 30 nodes single blocks would be too coarse a key, so keys combine ``agree``
+Beyond 2 ** 28 nodes single blocks would be too coarse a key, so keys combine ``agree``
 blocks out of RADIUS + agree: the guaranteed radius stays the same.
 
 Verification goes in two rounds, so that a group of thousands of variants does not cost the
@@ -43,9 +43,10 @@ from .editdistance import within
 from .textkernel import bigrams, chunks, fold, popcount, sequence_hashes, simhash, span_hashes, spans
 
 BITS = 128
-RADIUS = 7
-SCREEN = 20
-PAIR_SCREEN = 20
+RADIUS = 8
+SCREEN = 22
+PAIR_SCREEN = 22
+LONG_RADIUS = 7
 SIMILARITY = 0.92
 LONG = 8000
 MIN_WORDS = 4
@@ -241,14 +242,14 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(allowed: int):
-    """Keep the pairs within ``allowed`` thousandths of the longer line; of long ones, those within RADIUS bits."""
+    """Keep the pairs within ``allowed`` thousandths of the longer line; of long ones, those within LONG_RADIUS bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             la, lb = (batch.column(c) for c in ("la", "lb"))
             long = pc.or_(la.is_null(), lb.is_null()).to_numpy(zero_copy_only=False)
             longer = np.maximum(*[pc.utf8_length(x.fill_null("")).to_numpy(zero_copy_only=False) for x in (la, lb)]).astype(np.int64)
-            ok = long & (batch.column("apart").to_numpy() <= RADIUS)
+            ok = long & (batch.column("apart").to_numpy() <= LONG_RADIUS)
             short = np.flatnonzero(~long)
             if len(short):
                 take = pa.array(short)
