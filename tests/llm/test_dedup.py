@@ -206,7 +206,7 @@ def test_fuzzy_line_edges_of_input(spark):
     assert out.columns == frame(spark, rows).columns
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert got == {
-        1: (rows[0][1], 1), 2: ("short\n\nanother line that only this one has", 41), 4: (None, 1), 5: ("", 1), 6: ("x y\nx y", 1), 7: ("x y", 1),
+        1: (rows[0][1], 1), 2: ("short\n\nanother line that only this one has", 42), 4: (None, 1), 5: ("", 1), 6: ("x y\nx y", 1), 7: ("x y", 1),
         8: ("last but not least a line of its own", 36), 9: (rows[9][1], 1),
     }
     assert out.filter("doc_id = 9").count() == 1
