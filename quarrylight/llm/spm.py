@@ -414,7 +414,7 @@ def _encode(shared, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, dec = Encoder(shared.value), Decoder(shared.value)
         for batch in batches:
-            for part, buf, bounds in chunks(batch, "__text", 3 << 20):
+            for part, buf, bounds in chunks(batch, "__text", 1 << 19):
                 ids, ib = enc.encode(buf, bounds)
                 back, bb = dec.decode(ids, ib)
                 same = np.diff(bb) == np.diff(bounds)
