@@ -36,6 +36,7 @@ DIMENSIONS = 64
 PER_LABEL = 2000
 K = 25
 THRESHOLD = 0.5
+ROWS = 1024
 
 
 def term_counts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -81,10 +82,18 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch of bounded text and, as every row has a dense vector, bounded rows."""
+    for part, buf, bounds in chunks(batch, "__text", 1 << 20):
+        for i in range(0, part.num_rows, ROWS):
+            j = min(i + ROWS, part.num_rows)
+            yield part.slice(i, j - i), buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, df = 0, np.zeros(TERMS, np.int64)
     for batch in batches:
-        for part, buf, bounds in chunks(batch, "__text", 1 << 20):
+        for part, buf, bounds in _parts(batch):
             df += (term_counts(buf, bounds) > 0).sum(axis=0)
             total += part.num_rows
     yield pa.record_batch([pa.array(np.arange(TERMS + 1, dtype=np.int32)), pa.array(np.append(df, total))], names=["term", "n"])
@@ -101,7 +110,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, buf, bounds in chunks(batch, "__text", 1 << 20):
+        for part, buf, bounds in _parts(batch):
             c = term_counts(buf, bounds)
             yield pa.record_batch([part.column("__id"), part.column("__label"), pa.array([r.tobytes() for r in c], pa.binary())], names=["__id", "__label", "v"])
 
@@ -160,12 +169,9 @@ def _score(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters: Voters = shared.value
         for batch in batches:
-            for part, buf, bounds in chunks(batch, "__text", 1 << 20):
-                for i in range(0, part.num_rows, 1024):
-                    j = min(i + 1024, part.num_rows)
-                    ids = part.column("__id").slice(i, j - i)
-                    c = term_counts(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                    yield pa.record_batch([ids, pa.array(voters.vote(c, ids.to_pylist(), k))], names=["__id", "score"])
+            for part, buf, bounds in _parts(batch):
+                ids = part.column("__id")
+                yield pa.record_batch([ids, pa.array(voters.vote(term_counts(buf, bounds), ids.to_pylist(), k))], names=["__id", "score"])
 
     return run
 
