@@ -23,9 +23,10 @@ def test_rules_flag_each_kind_of_junk(spark):
         (1, GOOD, "a"), (2, "WOW!! BUY!! NOW!! " * 10, "a"), (3, " | ".join("abcdefghijkl"), "a"), (4, "spam spam spam spam " * 10, "a"),
         (5, None, "a"), (6, "  \n ", "a"), (7, "ok", None), (7, "ok", None),
     ]
-    got = {(r["doc_id"], r["keep"]) for r in hostrules.judge(docs(spark, rows)).collect()}
+    # most of these rows are junk, so that both hosts would be bad: only the rules count here
+    got = {(r["doc_id"], r["keep"]) for r in hostrules.judge(docs(spark, rows), bad_rate=1.1).collect()}
     assert got == {(1, True), (2, False), (3, False), (4, False), (5, False), (6, False), (7, True)}
-    kept = hostrules.filter_documents(docs(spark, rows))
+    kept = hostrules.filter_documents(docs(spark, rows), bad_rate=1.1)
     assert kept.columns == docs(spark, rows).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 7, 7]
 
