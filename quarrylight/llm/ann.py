@@ -8,8 +8,11 @@ substrings, so probing the lists around the query's substrings retrieves every s
 these are checked in full and their vectors are reranked by exact cosine.
 
 Every row is a query. Mean and covariance are sums over all vectors; the rotation is fitted on at most
-``FIT_ROWS`` of them. The radius is calibrated: the distance within which ``RECALL`` of the
-exact neighbours of ``PROBES`` query rows lie, those found by comparing them with all rows.
+``FIT_ROWS`` of them. Each row has its own radius in each block of the index: it is widened
+until k codes are found, then to the radius that belongs to the k-th exact cosine found so far.
+That radius is calibrated over all rows: every row is compared in full with its own block, and
+of the rows whose k-th cosine falls into the same band, ``ROWS`` have ``RECALL`` of their
+neighbours within it. Where no row fell into a band or above, the radius is the whole code.
 
 Rows travel in blocks: each block of queries meets each block of the index once.
 
@@ -39,8 +42,10 @@ SUBSTRINGS = 8
 NEIGHBOURS = 10
 BLOCK_ROWS = 8192
 FIT_ROWS = 20_000
-PROBES = 256
 RECALL = 0.95
+ROWS = 0.99
+BANDS = 100
+WIDEN = 4
 _STEP = 1_000_000
 
 
@@ -118,39 +123,44 @@ def fit(vectors: DataFrame, rows: int, width: int, fit_rows: int = FIT_ROWS, rou
     return Coder(mean, full)
 
 
-def _exact(queries: np.ndarray, ids: np.ndarray, codes: np.ndarray, coder: Coder, k: int):
-    """Per partition: the k exact best of each query with their code distance."""
+def band(s: np.ndarray) -> np.ndarray:
+    """Bands of cosines given in steps; what is below every cosine has band 0."""
+    return np.clip((s + _STEP) * BANDS // (2 * _STEP), 0, BANDS).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("__v"), queries.shape[1])
-            if not len(x):
-                continue
-            own = batch.column("__id").to_numpy()
-            s = np.floor(queries @ x.T * _STEP + 0.5).astype(np.int64)
-            s[ids[:, None] == own[None]] = -10 * _STEP
-            n = min(k, len(x))
+
+def _needs(width: int, coder: Coder, k: int, recall: float):
+    """Per block: band of the k-th exact cosine and the distance that holds ``recall`` of the k, of each row."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        v, n = np.frombuffer(b"".join(x["__v"]), np.float32).reshape(-1, width), min(k, len(x) - 1)
+        if n < k:
+            return pd.DataFrame({"b": pd.Series([], dtype="int32"), "d": pd.Series([], dtype="int32"), "n": pd.Series([], dtype="int64")})
+        codes, count = coder.codes(v), np.zeros((BANDS + 1, BITS + 1), np.int64)
+        for i in range(0, len(x), 512):
+            s = np.floor(v[i : i + 512] @ v.T * _STEP + 0.5).astype(np.int64)
+            s[np.arange(len(s)), i + np.arange(len(s))] = -10 * _STEP
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            dist = np.bitwise_count(coder.codes(x)[top] ^ codes[:, None]).astype(np.int32)
-            q = np.repeat(np.arange(len(queries)), n)
-            yield pa.record_batch([pa.array(q), pa.array(np.take_along_axis(s, top, axis=1).reshape(-1)), pa.array(dist.reshape(-1))], names=["q", "s", "d"])
+            far = np.sort(np.bitwise_count(codes[top] ^ codes[i : i + 512, None]), axis=1)[:, int(np.ceil(recall * n)) - 1]
+            np.add.at(count, (band(np.take_along_axis(s, top, axis=1).min(axis=1)), far.astype(np.int64)), 1)
+        b, d = np.nonzero(count)
+        return pd.DataFrame({"b": b.astype(np.int32), "d": d.astype(np.int32), "n": count[b, d]})
 
     return run
 
 
-def calibrate(vectors: DataFrame, rows: int, width: int, coder: Coder, k: int, probes: int = PROBES, recall: float = RECALL) -> int:
-    """The radius that holds ``recall`` of the exact neighbours of the probe rows."""
-    u = F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    part = vectors.filter(u <= 2.0 * probes / max(rows, 1) + 1e-6).orderBy(u, "__id").limit(probes).collect() or vectors.orderBy("__id").limit(probes).collect()
-    q = np.frombuffer(b"".join(bytes(r["__v"]) for r in part), np.float32).reshape(-1, width)
-    ids = np.array([r["__id"] for r in part])
-    best = vectors.mapInArrow(_exact(q, ids, coder.codes(q), coder, k), "q long, s long, d int").filter(f"s > {-2 * _STEP}")
-    rank = Window.partitionBy("q").orderBy(F.desc("s"), "d")
-    found = best.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= k).groupBy("d").count().orderBy("d").collect()
-    if not found:
-        return 0
-    d, n = np.array([r["d"] for r in found]), np.cumsum([r["count"] for r in found])
-    return int(d[np.searchsorted(n, recall * n[-1])])
+def calibrate(blocks: DataFrame, width: int, coder: Coder, k: int, recall: float = RECALL, rows: float = ROWS) -> np.ndarray:
+    """The radius for each band of the k-th cosine, from blocks(__b, __v); it never grows with the cosine."""
+    count = np.zeros((BANDS + 1, BITS + 1), np.int64)
+    for r in blocks.groupBy("__b").applyInPandas(_needs(width, coder, k, recall), "b int, d int, n long").groupBy("b", "d").agg(F.sum("n").alias("n")).collect():
+        count[r["b"], r["d"]] = r["n"]
+    some = count.sum(axis=1) > 0
+    below = np.cumsum(count, axis=1)
+    need = np.where(some, (below >= rows * below[:, -1:]).argmax(axis=1), 0)
+    radii = np.maximum.accumulate(need[::-1])[::-1]
+    if not some.any():
+        return np.full(BANDS + 1, BITS)
+    radii[: some.argmax()] = BITS
+    return radii
 
 
 def substring_radii(radius: int, substrings: int = SUBSTRINGS) -> list[int]:
@@ -165,23 +175,28 @@ class Index:
     def __init__(self, codes: np.ndarray, radius: int, substrings: int = SUBSTRINGS) -> None:
         self.width = BITS // substrings
         self.substrings = substrings
-        size = 1 << self.width
-        values = np.arange(size)
-        near = np.bitwise_count(values[:, None] ^ values[None])
-        self.balls = []
-        for j, r in enumerate(substring_radii(radius, substrings)):
-            if r < 0:
-                self.balls.append(None)
-                continue
-            v = self._part(codes, j)
-            lists = np.zeros((size, len(codes)), bool)
-            lists[v, np.arange(len(codes))] = True
-            lists = np.packbits(lists, axis=1)
-            ball = np.zeros_like(lists)
-            for x in np.unique(v):
-                ball[near[x] <= r] |= lists[x]
-            self.balls.append(ball)
         self.codes = codes
+        values = np.arange(1 << self.width)
+        self.near = np.bitwise_count(values[:, None] ^ values[None])
+        self.lists = []
+        for j in range(substrings):
+            lists = np.zeros((len(values), len(codes)), bool)
+            lists[self._part(codes, j), np.arange(len(codes))] = True
+            self.lists.append(np.packbits(lists, axis=1))
+        self.balls: dict[tuple[int, int], np.ndarray] = {}
+        for j, r in enumerate(substring_radii(radius, substrings)):
+            self._ball(j, r)
+
+    def _ball(self, j: int, r: int) -> np.ndarray | None:
+        """The lists of substring ``j`` within ``r``, made when first asked for."""
+        if r < 0:
+            return None
+        if (j, r) not in self.balls:
+            ball = np.zeros_like(self.lists[j])
+            for x in np.unique(self._part(self.codes, j)):
+                ball[self.near[x] <= r] |= self.lists[j][x]
+            self.balls[j, r] = ball
+        return self.balls[j, r]
 
     def _part(self, codes: np.ndarray, j: int) -> np.ndarray:
         return ((codes >> np.uint64(j * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
@@ -189,8 +204,8 @@ class Index:
     def probe(self, queries: np.ndarray, radius: int) -> np.ndarray:
         """(queries, codes) bool: retrieved by some list and within the radius."""
         found = np.zeros((len(queries), (len(self.codes) + 7) // 8), np.uint8)
-        for j, ball in enumerate(self.balls):
-            if ball is not None:
+        for j, r in enumerate(substring_radii(radius, self.substrings)):
+            if (ball := self._ball(j, r)) is not None:
                 found |= ball[self._part(queries, j)]
         hit = np.unpackbits(found, axis=1, count=len(self.codes)).astype(bool)
         if hit.mean() > 0.1:
@@ -201,7 +216,26 @@ class Index:
         return hit
 
 
-def _search(width: int, coder: Coder, radius: int, k: int):
+def _best(hit: np.ndarray, qv: np.ndarray, xv: np.ndarray, xi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, item, cosine in steps) of the k best retrieved ones, best first for each query."""
+    if hit.mean() > 0.01:
+        s = np.where(hit, np.floor(qv @ xv.T * _STEP + 0.5), -4 * _STEP).astype(np.int64)
+        n = min(k, len(xi))
+        key = s * len(xi) + np.arange(len(xi))[::-1]  # of equal cosines the smaller id
+        top = np.argpartition(-key, n - 1, axis=1)[:, :n]
+        a, b = np.repeat(np.arange(len(s)), n), top.reshape(-1)
+        s = s[a, b]
+        a, b, s = a[s > -2 * _STEP], b[s > -2 * _STEP], s[s > -2 * _STEP]
+    else:
+        a, b = np.nonzero(hit)
+        s = np.floor(np.einsum("ij,ij->i", qv[a], xv[b]) * _STEP + 0.5).astype(np.int64)
+    o = np.lexsort((xi[b], -s, a))
+    a, b, s = a[o], b[o], s[o]
+    keep = np.arange(len(a)) - np.searchsorted(a, a, side="left") < k
+    return a[keep], b[keep], s[keep]
+
+
+def _search(width: int, coder: Coder, radii: np.ndarray, k: int):
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"id": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"), "s": pd.Series([], dtype="int64")})
         if not len(q) or not len(x):
@@ -210,26 +244,30 @@ def _search(width: int, coder: Coder, radius: int, k: int):
         qi, xi = q["__id"].to_numpy(), x["__id"].to_numpy()
         order = np.argsort(xi)
         xv, xi = xv[order], xi[order]
+        radius = int(radii[-1])
         index = Index(coder.codes(xv), radius)
         parts = []
         for i in range(0, len(q), 512):
-            hit = index.probe(coder.codes(qv[i : i + 512]), radius)
-            hit &= qi[i : i + 512, None] != xi[None]
-            if hit.mean() > 0.01:
-                s = np.where(hit, np.floor(qv[i : i + 512] @ xv.T * _STEP + 0.5), -4 * _STEP).astype(np.int64)
-                n = min(k, len(xi))
-                key = s * len(xi) + np.arange(len(xi))[::-1]  # of equal cosines the smaller id
-                top = np.argpartition(-key, n - 1, axis=1)[:, :n]
-                s = np.take_along_axis(s, top, axis=1)
-                a, b = np.nonzero(s > -2 * _STEP)
-                parts.append((qi[i + a], xi[top[a, b]], s[a, b]))
-            else:
-                a, b = np.nonzero(hit)
-                s = np.floor(np.einsum("ij,ij->i", qv[i + a], xv[b]) * _STEP + 0.5).astype(np.int64)
-                o = np.lexsort((xi[b], -s, a))
-                a, b, s = a[o], b[o], s[o]
-                keep = np.arange(len(a)) - np.searchsorted(a, a, side="left") < k
-                parts.append((qi[i + a[keep]], xi[b[keep]], s[keep]))
+            v, own = qv[i : i + 512], qi[i : i + 512]
+            codes = coder.codes(v)
+            due, radius = np.full(len(v), int(radii[-1])), int(radii[-1])
+            todo = np.arange(len(v))
+            while len(todo):
+                now = todo[due[todo] <= radius]
+                if len(now):
+                    hit = index.probe(codes[now], radius)
+                    hit &= own[now, None] != xi[None]
+                    a, b, s = _best(hit, v[now], xv, xi, k)
+                    found = np.bincount(a, minlength=len(now))
+                    worst = np.full(len(now), -4 * _STEP)
+                    full = np.flatnonzero(found == k)
+                    worst[full] = s[np.searchsorted(a, full, side="right") - 1]
+                    due[now] = np.where(found == k, radii[band(worst)], radius + 1)
+                    over = (due[now] <= radius) | (radius >= BITS)
+                    sent = over[a]
+                    parts.append((own[now[a[sent]]], xi[b[sent]], s[sent]))
+                    todo = np.setdiff1d(todo, now[over])
+                radius = min(BITS, radius + WIDEN)
         if not parts:
             return none
         return pd.DataFrame({n: np.concatenate([p[j] for p in parts]) for j, n in enumerate(("id", "other", "s"))})
@@ -240,7 +278,8 @@ def _search(width: int, coder: Coder, radius: int, k: int):
 def neighbours(
     items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, radius: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """(vec_id, rank, neighbour_id, cosine) of the k nearest of every item; ids are integers."""
+    """(vec_id, rank, neighbour_id, cosine) of the k nearest of every item; ids are integers.
+    A given ``radius`` takes the place of the calibrated ones."""
     vectors = unit_vectors(items, id_col, vector)
     rows = vectors.count()
     schema = f"{id_col} long, rank int, neighbour_id long, cosine double"
@@ -248,15 +287,14 @@ def neighbours(
         return items.sparkSession.createDataFrame([], schema)
     width = len(vectors.first()["__v"]) // 4
     coder = fit(vectors, rows, width)
-    if radius is None:
-        radius = calibrate(vectors, rows, width, coder, k)
     blocks = -(-rows // block_rows)
     v = vectors.select(F.col("__id").cast("long").alias("__id"), "__v").withColumn("__b", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
+    radii = calibrate(v, width, coder, k) if radius is None else np.full(BANDS + 1, radius)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     q = v.select(F.col("__b").alias("qb"), every.alias("xb"), "__id", "__v")
     x = v.select(every.alias("qb"), F.col("__b").alias("xb"), "__id", "__v")
     pairs = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb"))
-    found = pairs.applyInPandas(_search(width, coder, radius, k), "id long, other long, s long")
+    found = pairs.applyInPandas(_search(width, coder, radii, k), "id long, other long, s long")
     best = Window.partitionBy("id").orderBy(F.desc("s"), "other")
     return (
         found.withColumn("rank", F.row_number().over(best))
