@@ -2,13 +2,14 @@
 
 A document's signature has 256 sign bits over its word pairs. Documents with equal
 signatures are one node. Random bit-sampling hashing finds candidates among the nodes: each
-of several tables groups them by sampled coordinates; a bucket above ``cap`` is split by
-additional sampled bits, and one that no bits of its table can split is compared in full.
+of several tables groups them by sampled coordinates. Buckets are never split, so that their
+pairs keep the planned recall: up to ``cap`` rows all pairs are compared, above it a row's near
+ones are linked to it and only the others go on, which connects the same nodes.
 Candidates within ``radius`` bits are linked, and connected nodes form a group.
 
 The number of base bits follows the number of nodes, and the number of tables follows from
-the base bits so that a pair at ``typical`` distance shares a bucket with probability
-``recall``; both are computed, neither is a cap.
+the base bits so that a pair at ``radius``, the farthest that counts, shares a bucket with
+probability ``recall``; both are computed, neither is a cap.
 
 Rows travel once per table with 8 bytes of key and 32 of signature; texts are read once and
 never shuffled by the search.
@@ -37,11 +38,9 @@ from .textkernel import bigrams, chunks, fold, popcount, simhash, span_hashes, s
 
 BITS = 256
 RADIUS = 56
-TYPICAL = 40
 RECALL = 0.95
-OCCUPANCY_BITS = 6
+OCCUPANCY_BITS = 9
 CAP = 256
-STEP = 8
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,10 +64,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return d.mapInArrow(_sign, f"__id {kind}, __rid long, __sig binary")
 
 
-def table_plan(nodes: int, typical: int = TYPICAL, recall: float = RECALL) -> tuple[int, int]:
+def table_plan(nodes: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
     """(base bits, tables) for so many nodes."""
     bits = min(48, max(8, math.ceil(math.log2(max(2, nodes))) - OCCUPANCY_BITS))
-    hit = (1 - typical / BITS) ** bits
+    hit = (1 - radius / BITS) ** bits
     return bits, max(4, math.ceil(math.log(1 - recall) / math.log1p(-hit)))
 
 
@@ -96,29 +95,10 @@ def _spread(tables: int, seed: int = 7):
     return run
 
 
-def _leaves(t: np.ndarray, key: np.ndarray, bits: int, cap: int) -> np.ndarray:
-    """Bounds of the buckets to compare: sorted rows are grouped by their first ``bits``
-    bits, and a group above ``cap`` by STEP more bits until none are left."""
-    n = len(key)
-    u = key.view(np.uint64)
-    cut_at = np.zeros(n + 1, dtype=bool)
-    cut_at[[0, n]] = True
-    active = np.ones(n, dtype=bool)
-    width = bits
-    while True:
-        top = u >> np.uint64(64 - width)
-        new = np.ones(n, dtype=bool)
-        new[1:] = (top[1:] != top[:-1]) | (t[1:] != t[:-1])
-        cut_at[:n] |= new & active
-        if width >= 64:
-            break
-        at = np.flatnonzero(cut_at)
-        size = np.diff(at)
-        active = np.repeat(size > cap, size)
-        if not active.any():
-            break
-        width = min(64, width + STEP)
-    return np.flatnonzero(cut_at)
+def _buckets(t: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Bounds of the buckets: rows of the same table with the same base bits."""
+    new = np.flatnonzero((top[1:] != top[:-1]) | (t[1:] != t[:-1])) + 1
+    return np.concatenate([[0], new, [len(t)]])
 
 
 def _links(at: np.ndarray, sig: np.ndarray, radius: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +115,7 @@ def _links(at: np.ndarray, sig: np.ndarray, radius: int, cap: int) -> tuple[np.n
         left.append(rows[near])
         right.append(rows[near] + step)
         step += 1
-    for b in np.flatnonzero(size > cap):  # no sampled bit splits these: link each row to the first near one of its block, all compared
+    for b in np.flatnonzero(size > cap):  # link each row to the first near one of its bucket, all compared
         todo = np.arange(at[b], at[b + 1])
         while len(todo) > 1:
             near = popcount(sig[todo] ^ sig[todo[0]]).sum(axis=1) <= radius
@@ -143,12 +123,13 @@ def _links(at: np.ndarray, sig: np.ndarray, radius: int, cap: int) -> tuple[np.n
             right.append(todo[near][1:])
             # rows near this one still have to meet the rows that are not
             rest, met = todo[~near], todo[near][1:]
-            for i in range(0, len(met), 256):
-                hit = (popcount(sig[rest][None] ^ sig[met[i : i + 256]][:, None]).sum(axis=2) <= radius) if len(rest) else np.zeros((0, 0), bool)
+            many = max(1, min(256, (1 << 20) // max(1, len(rest))))
+            for i in range(0, len(met), many):
+                hit = (popcount(sig[rest][None] ^ sig[met[i : i + many]][:, None]).sum(axis=2) <= radius) if len(rest) else np.zeros((0, 0), bool)
                 if hit.size:
                     x, y = np.nonzero(hit)
                     y, first = np.unique(y, return_index=True)
-                    left.append(met[i : i + 256][x[first]])
+                    left.append(met[i : i + many][x[first]])
                     right.append(rest[y])
             todo = rest
     none = np.zeros(0, np.int64)
@@ -157,7 +138,7 @@ def _links(at: np.ndarray, sig: np.ndarray, radius: int, cap: int) -> tuple[np.n
 
 def _pairs(bits: int, radius: int, cap: int):
     def emit(t, key, sig):
-        a, b = _links(_leaves(t, key, bits, cap), sig, radius, cap)
+        a, b = _links(_buckets(t, key.view(np.uint64) >> np.uint64(64 - bits)), sig, radius, cap)
         raw = np.ascontiguousarray(sig).view(np.uint8).reshape(len(sig), -1)
         for i in range(0, len(a), 20000):
             x, y = raw[a[i : i + 20000]], raw[b[i : i + 20000]]
@@ -185,7 +166,7 @@ def _pairs(bits: int, radius: int, cap: int):
 
 def near_pairs(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, cap: int = CAP, tables: int | None = None) -> DataFrame:
     """Distinct (a, b) signatures within ``radius`` found by the tables, from nodes(__sig)."""
-    bits, planned = table_plan(n_nodes)
+    bits, planned = table_plan(n_nodes, radius)
     spread = nodes.mapInArrow(_spread(tables or planned), "t int, key long, sig binary")
     bucket = F.shiftrightunsigned("key", 64 - bits)
     return (
