@@ -10,9 +10,11 @@ from __future__ import annotations
 import numpy as np
 
 #: Above every distance that fits a band, and far enough from the end of 16 bits that adding
-#: one per step never wraps for texts of up to 8,000 characters.
+#: one per step never wraps for texts of up to LONG characters; longer ones have cells of 32 bits.
 _FAR = 10_000
+_FAR_LONG = 1 << 30
 _CELLS = 1 << 16
+LONG = 8000
 
 
 def _codes(texts: list[str], length: int, fill: int, back: bool) -> np.ndarray:
@@ -39,15 +41,16 @@ def _block(a: list[str], b: list[str], size_a: np.ndarray, size_b: np.ndarray, b
     pad_b = np.ones((cols + 2 * k + rows + 2, len(a)), np.uint16)
     pad_a[k + cols : k + cols + rows] = left.T
     pad_b[k : k + cols] = right.T
-    even = np.full((k + 1, len(a)), _FAR, np.uint16)
+    cell, far = (np.uint16, _FAR) if max(rows, cols) <= LONG else (np.uint32, _FAR_LONG)
+    even = np.full((k + 1, len(a)), far, cell)
     even[k // 2] = 0
-    odd = np.full((k + 2, len(a)), _FAR, np.uint16)  # with a border on either side
+    odd = np.full((k + 2, len(a)), far, cell)  # with a border on either side
     total = size_a + size_b
-    out = np.full(len(a), _FAR, np.int64)
+    out = np.full(len(a), far, np.int64)
     place = size_b - size_a + k
     order = np.argsort(total, kind="stable")
     at, last = 0, int(total.max())
-    miss_e, step_e = np.empty((k + 1, len(a)), np.uint16), np.empty((k + 1, len(a)), np.uint16)
+    miss_e, step_e = np.empty((k + 1, len(a)), cell), np.empty((k + 1, len(a)), cell)
     miss_o, step_o = miss_e[:k], step_e[:k]
     for s in range(last + 1):
         if s and s % 2 == 0:
@@ -56,7 +59,7 @@ def _block(a: list[str], b: list[str], size_a: np.ndarray, size_b: np.ndarray, b
             np.minimum(miss_e, 1, out=miss_e)
             even += miss_e
             np.minimum(odd[:-1], odd[1:], out=step_e)
-            step_e += np.uint16(1)
+            step_e += cell(1)
             np.minimum(even, step_e, out=even)
         elif s:
             i, j = rows - (s + k - 1) // 2 + k + cols, (s - k + 1) // 2 - 1 + k
@@ -65,9 +68,9 @@ def _block(a: list[str], b: list[str], size_a: np.ndarray, size_b: np.ndarray, b
             inner = odd[1:-1]
             inner += miss_o
             np.minimum(even[:-1], even[1:], out=step_o)
-            step_o += np.uint16(1)
+            step_o += cell(1)
             np.minimum(inner, step_o, out=inner)
-            odd[0] = odd[-1] = _FAR
+            odd[0] = odd[-1] = far
         while at < len(order) and total[order[at]] == s:
             p = order[at]
             if 0 <= place[p] <= 2 * k:
@@ -76,11 +79,51 @@ def _block(a: list[str], b: list[str], size_a: np.ndarray, size_b: np.ndarray, b
     return out
 
 
+def _grams(c: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``q`` characters and how often each occurs."""
+    h = np.zeros(len(c) - q + 1, np.uint64)
+    for i in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : len(c) - q + 1 + i]
+    return np.unique(h, return_counts=True)
+
+
+def _long_within(a: str, b: str, most: int) -> bool:
+    """For one pair of long texts: what begins and ends alike is left out, pairs with too few
+    common runs of characters are refused (an edit breaks at most q runs of q), and the band
+    widens until it holds the distance."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) for t in (a, b))
+    n = min(len(x), len(y))
+    head = int(np.append(x[:n] != y[:n], True).argmax())
+    tail = int(np.append(x[len(x) - n + head :][::-1] != y[len(y) - n + head :][::-1], True).argmax())
+    a, b, x, y = a[head : len(a) - tail], b[head : len(b) - tail], x[head : len(x) - tail], y[head : len(y) - tail]
+    if not len(x) or not len(y):
+        return max(len(x), len(y)) <= most
+    for q in (6, 8, 10):
+        need = max(len(x), len(y)) - q + 1 - q * most
+        if need > 0:
+            if min(len(x), len(y)) < q:
+                return False
+            (u, m), (v, n) = _grams(x, q), _grams(y, q)
+            _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+            if np.minimum(m[i], n[j]).sum() < need:
+                return False
+    band = min(64, most)
+    while True:
+        d = int(_block([a], [b], np.array([len(a)]), np.array([len(b)]), band)[0])
+        if d <= band or band >= most:
+            return d <= most
+        band = min(most, 4 * band)
+
+
 def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """Whether the edit distance of each pair is at most ``most``; texts of up to 8,000 characters."""
+    """Whether the edit distance of each pair is at most ``most``; texts of any length."""
     size_a, size_b = (np.array([len(t) for t in x], np.int64) for x in (a, b))
     ok = np.array([x == y for x, y in zip(a, b, strict=True)], bool) & (most >= 0)
     todo = np.flatnonzero(~ok & (np.abs(size_a - size_b) <= most) & (most > 0))
+    long = np.maximum(size_a[todo], size_b[todo]) > LONG
+    for p in todo[long]:
+        ok[p] = _long_within(a[p], b[p], int(most[p]))
+    todo = todo[~long]
     todo = todo[np.lexsort((size_a[todo] + size_b[todo], most[todo]))]
     i = 0
     while i < len(todo):

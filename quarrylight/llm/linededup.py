@@ -5,9 +5,8 @@ of 128 bits over their words. Equal normalised lines are one node. Nodes that ag
 least one of ``RADIUS + 1`` blocks of the signature (pigeonhole: every pair within RADIUS
 bits does), lie within ``screen`` bits, and within PAIR_SCREEN bits of a second SimHash of 64
 bits over word pairs, are candidates; a candidate pair is linked when the edit similarity of
-the normalised lines, 1 - levenshtein / longer length, is at least ``similarity``. Lines of
-more than LONG bytes, for which that costs too much, are linked within LONG_RADIUS bits. Connected nodes form a group, and of all its occurrences the first one stays,
-in the order (doc_id with nulls last, row hash, line number).
+the normalised lines, 1 - levenshtein / longer length, is at least ``similarity``, whatever
+their length. Connected nodes form a group, and of all its occurrences the first one stays, in the order (doc_id with nulls last, row hash, line number).
 
 Beyond 2 ** 28 nodes single blocks would be too coarse a key, so keys combine ``agree``
 blocks out of RADIUS + agree: the guaranteed radius stays the same.
@@ -46,9 +45,7 @@ BITS = 128
 RADIUS = 8
 SCREEN = 22
 PAIR_SCREEN = 22
-LONG_RADIUS = 7
 SIMILARITY = 0.92
-LONG = 8000
 MIN_WORDS = 4
 
 
@@ -226,7 +223,7 @@ def candidate_pairs(nodes: DataFrame, n_nodes: int, screen: int = SCREEN, simila
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normalised texts of the wanted lines of each document, null for long ones."""
+    """Normalised texts of the wanted lines of each document."""
     for batch in batches:
         for part, buf, bounds in chunks(batch, "__text"):
             first, ls, le = _lines(buf, bounds)
@@ -237,24 +234,19 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = first[d] + w["__line"]
                     hs.append(w["h1"])
                     words = b" ".join(b[ls[at] : le[at]].tobytes().split())
-                    texts.append(words.decode("utf-8", "replace") if len(words) <= LONG else None)
+                    texts.append(words.decode("utf-8", "replace"))
             yield pa.record_batch([pa.array(hs, pa.int64()), pa.array(texts, pa.string())], names=["h", "line"])
 
 
 def _verify(allowed: int):
-    """Keep the pairs within ``allowed`` thousandths of the longer line; of long ones, those within LONG_RADIUS bits."""
+    """Keep the pairs within ``allowed`` thousandths of the longer line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             la, lb = (batch.column(c) for c in ("la", "lb"))
-            long = pc.or_(la.is_null(), lb.is_null()).to_numpy(zero_copy_only=False)
-            longer = np.maximum(*[pc.utf8_length(x.fill_null("")).to_numpy(zero_copy_only=False) for x in (la, lb)]).astype(np.int64)
-            ok = long & (batch.column("apart").to_numpy() <= LONG_RADIUS)
-            short = np.flatnonzero(~long)
-            if len(short):
-                take = pa.array(short)
-                # exact in integers: distance * 1000 <= longer length * allowed thousandths
-                ok[short] = within(la.take(take).to_pylist(), lb.take(take).to_pylist(), longer[short] * allowed // 1000)
+            longer = np.maximum(*[pc.utf8_length(x).to_numpy(zero_copy_only=False) for x in (la, lb)]).astype(np.int64)
+            # exact in integers: distance * 1000 <= longer length * allowed thousandths
+            ok = within(la.to_pylist(), lb.to_pylist(), longer * allowed // 1000)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
