@@ -214,8 +214,9 @@ def blast_radius(s: SparkSession, d: str) -> DataFrame:
 
 @_query(None)
 def blast_radius_paths(s: SparkSession, d: str) -> DataFrame:
-    """With the files and call paths of first discovery."""
-    r = graph.blast_radius(_fn(s, d), _calls(s, d), _seeds(s))
+    """With the files and call paths of first discovery, from every function name."""
+    f = _fn(s, d)
+    r = graph.blast_radius(f, _calls(s, d), f.select(F.col("name").alias("seed")).filter("seed is not null").distinct())
     return r.select("seed", "name", "file_path", "depth", F.array_join("call_path", "|").alias("call_path"))
 
 
