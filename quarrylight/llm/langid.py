@@ -83,22 +83,24 @@ def trigrams(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, n
     n = e - s + 1
     ends = np.cumsum(n)
     first = ends - n
-    idx = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(s - first, n)
-    pad = np.append(b, 32).astype(np.uint32)
+    lo, hi = (int(s[0]), int(e[-1]) + 1) if len(s) else (0, 0)
+    pad = np.append(b[lo : min(hi, len(b))], np.uint8(32))
+    idx = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(s - lo - first, n)
     c0 = pad[idx]
+    del idx
     c0[ends - 1] = 32
-    c1 = np.concatenate([[32], c0[:-1]]).astype(np.uint32)
+    c1 = np.concatenate([[np.uint8(32)], c0[:-1]])
     c1[first] = 32
-    c2 = np.concatenate([[32], c1[:-1]]).astype(np.uint32)
+    c2 = np.concatenate([[np.uint8(32)], c1[:-1]])
     c2[first] = 32
-    h = ((c2 << np.uint32(16)) | (c1 << np.uint32(8)) | c0) * np.uint32(0x9E3779B1)
-    return (h >> np.uint32(32 - TABLE_BITS)).astype(np.int64), first
+    h = ((c2.astype(np.uint32) << np.uint32(16)) | (c1.astype(np.uint32) << np.uint32(8)) | c0) * np.uint32(0x9E3779B1)
+    return h >> np.uint32(32 - TABLE_BITS), first
 
 
 @dataclass
 class Model:
-    languages: list[str]
-    scores: np.ndarray  # (2 ** TABLE_BITS, languages), zero columns for languages that only a script stands for
+    languages: list[str]  # the trained ones first, then those that only a script stands for
+    scores: np.ndarray  # (trained languages, 2 ** TABLE_BITS)
     allowed: np.ndarray  # (scripts, languages)
 
 
@@ -116,29 +118,43 @@ def train(rows: list[tuple[str, str]]) -> Model:
             counts[k] += np.bincount(trigrams(b, s, e)[0], minlength=1 << TABLE_BITS)
             used[:, k] += np.bincount(word_scripts(raw, s), minlength=len(SCRIPTS))
     logp = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * (1 << TABLE_BITS)))
-    scores = (logp - logp.mean(axis=0)).T if names else np.zeros((1 << TABLE_BITS, 0))
+    scores = (logp - logp.mean(axis=0)).astype(np.float32) if names else np.zeros((0, 1 << TABLE_BITS), np.float32)
     share = used / np.maximum(used[1:].sum(axis=0), 1)
     allowed = share >= 0.02
     for i, (_, lang) in enumerate(SCRIPTS):
         if i and not allowed[i].any():
             if lang not in names:
                 names.append(lang)
-                scores = np.hstack([scores, np.zeros((len(scores), 1))])
                 allowed = np.hstack([allowed, np.zeros((len(SCRIPTS), 1), bool)])
             allowed[i, names.index(lang)] = True
     allowed[0] = True
     return Model(names, np.ascontiguousarray(scores), allowed)
 
 
+#: Trigrams that are looked up at once: bounds the memory of one very long text.
+_AT_ONCE = 1 << 20
+
+
 def word_scores(m: Model, buf: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """(words, languages); impossible languages have a very low score."""
+    """(words, languages) float32; impossible languages have a very low score. Languages that
+    only a script stands for score 0 and are not in the table. Words are looked up in runs of
+    about ``_AT_ONCE`` trigrams, one language after the other."""
+    out = np.zeros((len(s), len(m.languages)), np.float32)
     if not len(s):
-        return np.zeros((0, len(m.languages)))
-    h, first = trigrams(b, s, e)
+        return out
+    upto = np.cumsum(e - s + 1)
+    i = 0
+    while i < len(s):
+        before = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, before + _AT_ONCE, side="right")))
+        h, first = trigrams(b, s[i:j], e[i:j])
+        for k, table in enumerate(m.scores):
+            out[i:j, k] = np.add.reduceat(table[h], first)
+        i = j
     script = word_scripts(buf, s)
-    out = np.add.reduceat(m.scores[h], first, axis=0)
     out[script == 0] = 0
-    return np.where(m.allowed[script], out, _NEVER)
+    out[~m.allowed[script]] = _NEVER
+    return out
 
 
 def viterbi(score: np.ndarray, bounds: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -152,8 +168,8 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, penalty: float = PENALTY) ->
     start, size = bounds[:-1][order], n[order]
     steps = int(size[0])
     alive = np.searchsorted(-size, -np.arange(steps), side="left")  # documents longer than t
-    v = score[start].copy()
-    stays, tops = [np.zeros((0, 0), bool)], [np.zeros(0, np.int64)]
+    v = score[start].astype(np.float64)
+    stays, tops = np.zeros(score.shape, bool), np.zeros(len(score), np.int16)
     for t in range(1, steps):
         k = alive[t]
         x = v[:k]
@@ -161,15 +177,15 @@ def viterbi(score: np.ndarray, bounds: np.ndarray, penalty: float = PENALTY) ->
         best = x[np.arange(k), top] - penalty
         stay = x >= best[:, None]
         v[:k] = np.where(stay, x, best[:, None]) + score[start[:k] + t]
-        stays.append(stay)
-        tops.append(top)
+        stays[start[:k] + t] = stay
+        tops[start[:k] + t] = top
     now = v.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         k = alive[t]
         state[start[:k] + t] = now[:k]
         if t:
-            i = np.arange(k)
-            now[:k] = np.where(stays[t][i, now[:k]], now[:k], tops[t])
+            i = start[:k] + t
+            now[:k] = np.where(stays[i, now[:k]], now[:k], tops[i])
     return state
 
 
@@ -178,7 +194,7 @@ def _label(shared, penalty: float):
         m: Model = shared.value
         names = np.array([*m.languages, "und"], dtype=object)
         for batch in batches:
-            for part, buf, bounds in chunks(batch, "__text", 4 << 20):
+            for part, buf, bounds in chunks(batch, "__text", 1 << 20):
                 b = fold(buf)
                 s, e = spans(b != 32, bounds)
                 wb = np.searchsorted(s, bounds)
