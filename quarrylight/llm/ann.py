@@ -7,14 +7,18 @@ principle a code within ``radius`` of a query lies within a small radius of it i
 substrings, so probing the lists around the query's substrings retrieves every such code;
 these are checked in full and their vectors are reranked by exact cosine.
 
-Every row is a query. Mean and covariance are sums over all vectors; the rotation is fitted on at most
-``FIT_ROWS`` of them. Each row has its own radius in each block of the index: it is widened
-until k codes are found, then to the radius that belongs to the k-th exact cosine found so far.
-That radius is calibrated over all rows: every row is compared in full with its own block, and
-of the rows whose k-th cosine falls into the same band, ``ROWS`` have ``RECALL`` of their
-neighbours within it. Where no row fell into a band or above, the radius is the whole code.
-
-Rows travel in blocks: each block of queries meets each block of the index once.
+The queries are a stated set: every item whose id is divisible by ``query_step`` (1 for all),
+against all items. Mean and covariance are sums over all vectors; the rotation is fitted on a
+bounded sample of them, ``FIT_ROWS`` at most, and every vector is indexed. Each query has its own
+radius in each block of the index: it is widened until k codes are found, then to the radius that
+belongs to the k-th exact cosine found so far. That radius is calibrated over all queries: each is
+compared in full with the block that it belongs to, and of those whose k-th cosine falls into
+the same band, ``ROWS`` have ``RECALL`` of their neighbours within it. Where no query fell into a
+band or above, the radius is the whole code.
+
+Vectors are packed, ``block_rows`` to a block, by one shuffle. A block of the index meets each
+block of queries once, and a block of queries holds the queries of ``query_step`` blocks, so that
+the index is moved once more for every ``block_rows`` queries.
 
 Defined cases: null vectors, vectors of another length than most, with a null or a value
 that is not finite, and zero vectors are left out (they are nobody's neighbours); rows with a
@@ -31,11 +35,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, discard
 
 BITS = 64
 SUBSTRINGS = 8
@@ -44,6 +49,7 @@ BLOCK_ROWS = 8192
 FIT_ROWS = 20_000
 RECALL = 0.95
 ROWS = 0.99
+QUERY_STEP = 100
 BANDS = 100
 WIDEN = 4
 _STEP = 1_000_000
@@ -65,16 +71,18 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, out = [], []
-        for i, v in zip(batch.column("__id").to_pylist(), batch.column("__v").to_pylist(), strict=True):
-            if v is None or any(x is None for x in v):
-                continue
-            a = np.array(v, np.float64)
-            n = np.sqrt((a * a).sum()) if len(a) else 0.0
-            if n > 0 and np.isfinite(n):
-                ids.append(i)
-                out.append((a / n).astype(np.float32).tobytes())
-        yield pa.record_batch([pa.array(ids, batch.column("__id").type), pa.array(out, pa.binary())], names=["__id", "__v"])
+        col = batch.column("__v")
+        size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null element becomes NaN
+        first = np.cumsum(size) - size
+        for w in np.unique(size[size > 0]):
+            rows = np.flatnonzero(size == w)
+            x = flat[first[rows][:, None] + np.arange(w)]
+            with np.errstate(over="ignore", invalid="ignore"):
+                n = np.sqrt((x * x).sum(axis=1))
+            ok = np.isfinite(n) & (n > 0)
+            unit = (x[ok] / n[ok, None]).astype(np.float32)
+            yield pa.record_batch([batch.column("__id").take(pa.array(rows[ok])), pa.array([r.tobytes() for r in unit], pa.binary())], names=["__id", "__v"])
 
 
 def unit_vectors(items: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -128,30 +136,51 @@ def band(s: np.ndarray) -> np.ndarray:
     return np.clip((s + _STEP) * BANDS // (2 * _STEP), 0, BANDS).astype(np.int64)
 
 
-def _needs(width: int, coder: Coder, k: int, recall: float):
-    """Per block: band of the k-th exact cosine and the distance that holds ``recall`` of the k, of each row."""
+def _stack(x: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block as one row."""
+    ids = x["__id"].to_numpy(np.int64)
+    order = np.argsort(ids)
+    return pd.DataFrame({"b": [int(x["__b"].iloc[0])], "ids": [ids[order].tobytes()], "v": [b"".join(x["__v"].to_numpy()[order])]})
+
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        v, n = np.frombuffer(b"".join(x["__v"]), np.float32).reshape(-1, width), min(k, len(x) - 1)
-        if n < k:
-            return pd.DataFrame({"b": pd.Series([], dtype="int32"), "d": pd.Series([], dtype="int32"), "n": pd.Series([], dtype="int64")})
-        codes, count = coder.codes(v), np.zeros((BANDS + 1, BITS + 1), np.int64)
-        for i in range(0, len(x), 512):
-            s = np.floor(v[i : i + 512] @ v.T * _STEP + 0.5).astype(np.int64)
-            s[np.arange(len(s)), i + np.arange(len(s))] = -10 * _STEP
-            top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            far = np.sort(np.bitwise_count(codes[top] ^ codes[i : i + 512, None]), axis=1)[:, int(np.ceil(recall * n)) - 1]
-            np.add.at(count, (band(np.take_along_axis(s, top, axis=1).min(axis=1)), far.astype(np.int64)), 1)
-        b, d = np.nonzero(count)
-        return pd.DataFrame({"b": b.astype(np.int32), "d": d.astype(np.int32), "n": count[b, d]})
+def packed(vectors: DataFrame, blocks: int) -> DataFrame:
+    """(b, ids, v): vectors in blocks by a hash of their id, each block one row, a written table."""
+    v = vectors.select(F.col("__id").cast("long").alias("__id"), "__v").withColumn("__b", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
+    return cut(v.groupBy("__b").applyInPandas(_stack, "b int, ids binary, v binary"))
+
+
+def _rows(width: int, ids: bytes, v: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(v, np.float32).reshape(-1, width)
+
+
+def _needs(width: int, coder: Coder, k: int, recall: float, step: int):
+    """Per block: band of the k-th exact cosine and the distance that holds ``recall`` of the k, of each query."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for ids, raw in zip(frame["ids"], frame["v"], strict=True):
+                i, v = _rows(width, ids, raw)
+                queries = np.flatnonzero(i % step == 0)
+                if len(i) <= k or not len(queries):
+                    continue
+                codes, count = coder.codes(v), np.zeros((BANDS + 1, BITS + 1), np.int64)
+                for at in range(0, len(queries), 512):
+                    q = queries[at : at + 512]
+                    s = np.floor(v[q] @ v.T * _STEP + 0.5).astype(np.int64)
+                    s[np.arange(len(q)), q] = -10 * _STEP
+                    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    far = np.sort(np.bitwise_count(codes[top] ^ codes[q, None]), axis=1)[:, int(np.ceil(recall * k)) - 1]
+                    np.add.at(count, (band(np.take_along_axis(s, top, axis=1).min(axis=1)), far.astype(np.int64)), 1)
+                b, d = np.nonzero(count)
+                yield pd.DataFrame({"b": b.astype(np.int32), "d": d.astype(np.int32), "n": count[b, d]})
 
     return run
 
 
-def calibrate(blocks: DataFrame, width: int, coder: Coder, k: int, recall: float = RECALL, rows: float = ROWS) -> np.ndarray:
-    """The radius for each band of the k-th cosine, from blocks(__b, __v); it never grows with the cosine."""
+def calibrate(blocks: DataFrame, width: int, coder: Coder, k: int, step: int, recall: float = RECALL, rows: float = ROWS) -> np.ndarray:
+    """The radius for each band of the k-th cosine, from packed blocks; it never grows with the cosine."""
     count = np.zeros((BANDS + 1, BITS + 1), np.int64)
-    for r in blocks.groupBy("__b").applyInPandas(_needs(width, coder, k, recall), "b int, d int, n long").groupBy("b", "d").agg(F.sum("n").alias("n")).collect():
+    for r in blocks.mapInPandas(_needs(width, coder, k, recall, step), "b int, d int, n long").groupBy("b", "d").agg(F.sum("n").alias("n")).collect():
         count[r["b"], r["d"]] = r["n"]
     some = count.sum(axis=1) > 0
     below = np.cumsum(count, axis=1)
@@ -240,14 +269,12 @@ def _search(width: int, coder: Coder, radii: np.ndarray, k: int):
         none = pd.DataFrame({"id": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"), "s": pd.Series([], dtype="int64")})
         if not len(q) or not len(x):
             return none
-        qv, xv = (np.frombuffer(b"".join(f["__v"]), np.float32).reshape(-1, width) for f in (q, x))
-        qi, xi = q["__id"].to_numpy(), x["__id"].to_numpy()
-        order = np.argsort(xi)
-        xv, xi = xv[order], xi[order]
+        xi, xv = _rows(width, x["ids"].iloc[0], x["v"].iloc[0])
+        qi, qv = (np.concatenate(a) for a in zip(*[_rows(width, i, v) for i, v in zip(q["ids"], q["v"], strict=True)], strict=True))
         radius = int(radii[-1])
         index = Index(coder.codes(xv), radius)
         parts = []
-        for i in range(0, len(q), 512):
+        for i in range(0, len(qi), 512):
             v, own = qv[i : i + 512], qi[i : i + 512]
             codes = coder.codes(v)
             due, radius = np.full(len(v), int(radii[-1])), int(radii[-1])
@@ -275,10 +302,25 @@ def _search(width: int, coder: Coder, radii: np.ndarray, k: int):
     return run
 
 
+def _questions(width: int, step: int):
+    """The queries of each packed block."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for b, ids, raw in zip(frame["b"], frame["ids"], frame["v"], strict=True):
+                i, v = _rows(width, ids, raw)
+                mine = i % step == 0
+                if mine.any():
+                    yield pd.DataFrame({"b": np.array([b], np.int32), "ids": [i[mine].tobytes()], "v": [np.ascontiguousarray(v[mine]).tobytes()]})
+
+    return run
+
+
 def neighbours(
-    items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, radius: int | None = None, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """(vec_id, rank, neighbour_id, cosine) of the k nearest of every item; ids are integers.
+    items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, radius: int | None = None, block_rows: int = BLOCK_ROWS,
+    query_step: int = QUERY_STEP,
+) -> DataFrame:
+    """(vec_id, rank, neighbour_id, cosine) of the k nearest of every query; ids are integers.
     A given ``radius`` takes the place of the calibrated ones."""
     vectors = unit_vectors(items, id_col, vector)
     rows = vectors.count()
@@ -288,11 +330,14 @@ def neighbours(
     width = len(vectors.first()["__v"]) // 4
     coder = fit(vectors, rows, width)
     blocks = -(-rows // block_rows)
-    v = vectors.select(F.col("__id").cast("long").alias("__id"), "__v").withColumn("__b", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
-    radii = calibrate(v, width, coder, k) if radius is None else np.full(BANDS + 1, radius)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = v.select(F.col("__b").alias("qb"), every.alias("xb"), "__id", "__v")
-    x = v.select(every.alias("qb"), F.col("__b").alias("xb"), "__id", "__v")
+    index = packed(vectors, blocks)
+    discard(vectors)
+    radii = calibrate(index, width, coder, k, query_step) if radius is None else np.full(BANDS + 1, radius)
+    asked = -(-blocks // query_step)
+    q = index.mapInPandas(_questions(width, query_step), "b int, ids binary, v binary").select(
+        F.pmod(F.col("b"), F.lit(asked)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("xb"), "ids", "v"
+    )
+    x = index.select(F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("qb"), F.col("b").alias("xb"), "ids", "v")
     pairs = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb"))
     found = pairs.applyInPandas(_search(width, coder, radii, k), "id long, other long, s long")
     best = Window.partitionBy("id").orderBy(F.desc("s"), "other")

@@ -141,7 +141,7 @@ def test_multi_index_recall_and_pigeonhole(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(5000, None), (5001, [0.0] * 32), (5002, [1.0, 2.0]), (5003, [float("nan")] * 32), (None, [1.0] * 32), (0, x[0].tolist()), (5004, [None] + [1.0] * 31)]
     df = spark.createDataFrame([(*p, 1, "c") for p in rows + odd], "vec_id long, embedding array<float>, rank int, cosine string")
-    out = ann.neighbours(df, block_rows=300).collect()
+    out = ann.neighbours(df, block_rows=300, query_step=1).collect()
     u = x.astype(np.float32) / np.linalg.norm(x.astype(np.float32), axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -9)
@@ -154,7 +154,7 @@ def test_multi_index_recall_and_pigeonhole(spark):
         hit = ann.Index(codes, radius).probe(near, radius)
         assert (hit == (np.bitwise_count(near[:, None] ^ codes[None]) <= radius)).all()
     assert ann.neighbours(df.limit(0)).count() == 0 and ann.neighbours(df.filter("vec_id = 7")).count() == 0
-    two = ann.neighbours(df.filter("vec_id in (7, 8)"), radius=64).collect()
+    two = ann.neighbours(df.filter("vec_id in (7, 8)"), radius=64, query_step=1).collect()
     assert {(a["vec_id"], a["neighbour_id"]) for a in two} == {(7, 8), (8, 7)}
 
 
