@@ -12,16 +12,19 @@ _L, _R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: Every token adds one; ``else if`` counts on top of its ``if``. A run of question marks is one.
 TOKENS = [f"{_L}else\\s+if{_R}", *[_L + w + _R for w in _WORDS], "&&", "\\|\\|", "\\?(?!\\?)", "=>"]
 
+#: Comments, and literals by quote character. Possessive groups are loops in Java's engine, where
+#: others recurse once per character and overflow the stack on long literals.
 _STRIP = (
-    "//[^\\n]*|#[^\\n]*|/\\*[\\s\\S]*?(?:\\*/|\\z)"
-    "|(\"\"\"|''')[\\s\\S]*?(?:\\1|\\z)"
-    "|([\"'`])(?:\\\\[\\s\\S]|(?!\\2)[^\\\\])*(?:\\2|\\z)"
+    "//[^\\n]*+|#[^\\n]*+|/\\*[\\s\\S]*?(?:\\*/|\\z)"
+    '|(")(?:""[\\s\\S]*?(?:"{3}|\\z)|(?:[^"\\\\]++|\\\\[\\s\\S]|\\\\\\z)*+(?:"|\\z))'
+    "|(')(?:''[\\s\\S]*?(?:'{3}|\\z)|(?:[^'\\\\]++|\\\\[\\s\\S]|\\\\\\z)*+(?:'|\\z))"
+    "|(`)(?:[^`\\\\]++|\\\\[\\s\\S]|\\\\\\z)*+(?:`|\\z)"
 )
 
 
 def strip_strings_and_comments(code: Column) -> Column:
     """Code without comments, with every string literal emptied, in one scan."""
-    return F.regexp_replace(code, _STRIP, "$1$1$2$2")
+    return F.regexp_replace(code, _STRIP, "$1$1$2$2$3$3")
 
 
 def complexity_tokens(code: Column) -> Column:

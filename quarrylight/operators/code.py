@@ -53,7 +53,7 @@ def call_nodes(functions: DataFrame, dead: DataFrame, entries: DataFrame) -> Dat
         .select(
             node_id(F.col("name"), F.col("file_path")).alias("id"), "name", "file_path", "language", "complexity", "is_exported",
             F.coalesce("is_entry_point", F.lit(False)).alias("is_entry_point"), F.coalesce("is_dead", F.lit(False)).alias("is_dead"),
-            "line_count", "start_line",
+            "line_count", "start_line", "fn_ord",
         )
     )
 
@@ -80,7 +80,7 @@ def file_complexity(functions: DataFrame) -> DataFrame:
     g = functions.groupBy("file_path").agg(
         avg.alias("avg_complexity"), F.max("complexity").alias("max_complexity"), F.count(F.lit(1)).alias("functions")
     )
-    return g.withColumn("level", rules.complexity_level(F.col("avg_complexity")))
+    return g.withColumn("level", rules.complexity_level(F.col("avg_complexity"))).orderBy(F.desc("avg_complexity"), "file_path")
 
 
 def repo_complexity(functions: DataFrame) -> DataFrame:

@@ -37,14 +37,17 @@ def alias_imports(imports: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def undeclared_imports(imports: DataFrame, declared: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(package, files, imported_from): packages that are imported and nowhere declared."""
-    i = imports
+    """(package, files, imported_from): packages that are imported and nowhere declared, those
+    that most files import first. ``declared``(package) has a row with a null package for every
+    manifest that declares nothing; without any row there is no manifest, and nothing to hold
+    imports against, so the result is empty."""
+    i = imports.join(F.broadcast(declared.agg(F.count(F.lit(1)).alias("__n")).filter("__n > 0").select()), how="cross")
     if aliases is not None:
         i = i.join(alias_imports(imports, aliases), ["file_path", "source"], "left_anti")
     used = i.select("file_path", rules.package_name(F.col("source")).alias("package")).filter("package is not null").distinct()
-    open_ = used.join(declared.select("package").distinct(), "package", "left_anti")
+    open_ = used.join(declared.select("package").filter("package is not null").distinct(), "package", "left_anti")
     g = open_.groupBy("package").agg(F.array_sort(F.collect_set("file_path")).alias("imported_from"))
-    return g.select("package", F.size("imported_from").alias("files"), "imported_from")
+    return g.select("package", F.size("imported_from").alias("files"), "imported_from").orderBy(F.desc("files"), "package")
 
 
 def explain_files(files: DataFrame) -> DataFrame:

@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths, rules
+from ..session import cut, discard
 
 _CANDIDATES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js", "/index.tsx"]
-_own: str | None = None
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that the cluster shares (spark.checkpoint.dir)."""
-    global _own
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        _own = _own or tempfile.mkdtemp(prefix="quarrylight-")
-        base = _own
-    path = f"{base.rstrip('/')}/ql-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def dependency_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -60,36 +44,63 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
     was seen; rounds end when nothing new is found or after ``most`` of them. The tables of the
     rounds are written, so lineage does not grow.
     """
-    front = written(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
+    front = cut(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
     seen, depth = front, 0
     while most is None or depth < most:
         depth += 1
         step = front.join(edges, front["node"] == edges["target"]).select("seed", F.col("dependent").alias("node")).distinct()
-        front = written(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen.filter("depth > 0")
 
 
+def reach_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, total): how many nodes depend on each seed, at any distance.
+
+    Sets of seeds travel as bits, 64 to a word: a row (node, block, word) says which seeds of the
+    block reach the node, so a round costs at most nodes x seeds / 64 rows, and only bits that are
+    new go on to the next one. Seeds are numbered within hash blocks, without a global order.
+    """
+    n_seeds = seeds.select("seed").distinct().count()
+    part = F.pmod(F.xxhash64("seed"), F.lit(max(1, n_seeds // 4096)))
+    rank = Window.partitionBy("part").orderBy("seed")
+    numbered = seeds.select("seed").distinct().withColumn("part", part).withColumn("n", F.row_number().over(rank) - 1)
+    numbered = cut(numbered.select("seed", F.concat_ws("-", "part", (F.col("n") / 64).cast("int")).alias("block"), (F.col("n") % 64).alias("bit")))
+    front = cut(numbered.groupBy(F.col("seed").alias("node"), "block").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")))
+    seen = front
+    e = edges.select(F.col("target").alias("node"), "dependent").filter("node <> dependent").distinct()
+    while not front.isEmpty():
+        step = front.join(e, "node").groupBy(F.col("dependent").alias("node"), "block").agg(F.bit_or("word").alias("word"))
+        old = seen.withColumnRenamed("word", "old")
+        both = cut(step.join(old, ["node", "block"], "full").withColumn("new", F.coalesce("word", F.lit(0)).bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0))))))
+        used = {id(x): x for x in (front, seen)}
+        front = both.filter("new <> 0").select("node", "block", F.col("new").alias("word"))
+        seen = both.select("node", "block", F.coalesce("old", F.lit(0)).bitwiseOR(F.coalesce("new", F.lit(0))).alias("word"))
+        front._ql_path = seen._ql_path = both._ql_path
+        discard(*used.values())
+    per = seen.groupBy("block").agg(F.array(*[F.sum(F.expr(f"shiftrightunsigned(word, {i}) & 1L")) for i in range(64)]).alias("counts"))
+    return numbered.join(per, "block").select("seed", (F.get("counts", F.col("bit")) - 1).cast("long").alias("total"))
+
+
 def change_impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, direct, indirect, total, risk) over all transitive dependents."""
-    r = reach(edges, seeds)
-    g = r.groupBy("seed").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"))
-    out = seeds.select("seed").distinct().join(g, "seed", "left").na.fill(0, ["direct", "indirect"])
-    return out.withColumn("total", F.col("direct") + F.col("indirect")).withColumn("risk", rules.change_risk(F.col("total")))
+    edges = edges.filter("target <> dependent")
+    near = edges.select(F.col("target").alias("seed"), "dependent").distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("direct"))
+    out = reach_counts(edges, seeds).join(near, "seed", "left").na.fill(0, ["direct"])
+    return out.select("seed", "direct", (F.col("total") - F.col("direct")).alias("indirect"), "total", rules.change_risk(F.col("total")).alias("risk"))
 
 
 def blast_radius(functions: DataFrame, calls: DataFrame, seeds: DataFrame, most: int = 3) -> DataFrame:
     """(seed, name, file_path, depth, call_path): callers by name up to ``most`` steps away.
     Of several ways to a name the first counts: that of the earliest-found neighbour, and
     there the first calling function in file order."""
-    c = calls.filter("caller is not null").select(
-        F.col("callee"), F.element_at(F.split("caller", "@"), 1).alias("name"), F.regexp_extract("caller", "@(.*)$", 1).alias("file_path")
-    )
+    # the caller's id is its name, an @ and its file: names and paths may have that sign themselves
+    c = calls.filter("caller is not null").select("callee", F.expr("substring(caller, 1, length(caller) - length(file_path) - 1)").alias("name"), "file_path")
     order = functions.groupBy("name", "file_path").agg(F.min("fn_ord").alias("fn_ord"))
     c = c.distinct().join(order, ["name", "file_path"])
-    front = written(seeds.select("seed", F.col("seed").alias("name"), F.array("seed").alias("call_path"), F.lit("").alias("file_path"), F.lit(0).alias("depth"), F.lit("").alias("place")).distinct())
+    front = cut(seeds.select("seed", F.col("seed").alias("name"), F.array("seed").alias("call_path"), F.lit("").alias("file_path"), F.lit(0).alias("depth"), F.lit("").alias("place")).distinct())
     seen = front
     for depth in range(1, most + 1):
         f = front.select("seed", F.col("name").alias("callee"), F.col("call_path").alias("way"), F.col("place").alias("before"))
@@ -97,7 +108,7 @@ def blast_radius(functions: DataFrame, calls: DataFrame, seeds: DataFrame, most:
         first = Window.partitionBy("seed", "name").orderBy("before", "file_path", "fn_ord")
         step = step.withColumn("n", F.row_number().over(first)).filter("n = 1")
         place = F.concat("before", F.lit("/"), F.col("file_path"), F.lit("#"), F.lpad(F.col("fn_ord").cast("string"), 12, "0"))
-        front = written(step.select("seed", "name", F.concat("way", F.array("name")).alias("call_path"), "file_path", F.lit(depth).alias("depth"), place.alias("place")))
+        front = cut(step.select("seed", "name", F.concat("way", F.array("name")).alias("call_path"), "file_path", F.lit(depth).alias("depth"), place.alias("place")))
         seen = seen.unionByName(front)
     return seen.filter("depth > 0").drop("place")
 
@@ -111,7 +122,7 @@ def blast_summary(affected: DataFrame, seeds: DataFrame) -> DataFrame:
 def pr_summary(nodes: DataFrame, edges: DataFrame, names: DataFrame, risky: int = 5, most: int = 3) -> DataFrame:
     """(name, file_path, affected, affected_names, found, is_risky) for changed names; the last
     node of a name counts, dependents are nodes up to ``most`` calls away."""
-    last = nodes.groupBy("name").agg(F.max_by(F.struct("id", "file_path"), F.struct("file_path", "start_line")).alias("n"))
+    last = nodes.groupBy("name").agg(F.max_by(F.struct("id", "file_path"), F.struct("file_path", "fn_ord")).alias("n"))
     asked = names.select("name").distinct().join(last, "name", "left").select("name", F.col("n.id").alias("seed"), F.col("n.file_path").alias("file_path"))
     rev = edges.select("target", F.col("source").alias("dependent"))
     r = reach(rev, asked.filter("seed is not null").select("seed"), most)
@@ -124,10 +135,10 @@ def pr_summary(nodes: DataFrame, edges: DataFrame, names: DataFrame, risky: int
     )
 
 
-def pr_markdown(summary: DataFrame, shown: int = 5) -> DataFrame:
-    """One row with the draft of a pull request's description."""
+def pr_markdown(summary: DataFrame, shown: int = 5, by: list[str] | None = None) -> DataFrame:
+    """One row with the draft of a pull request's description; with ``by`` one for each of its values."""
     tick = F.lit("`")
-    note = F.when(F.col("is_risky"), " ⚠️ meaningful blast radius").otherwise("")
+    note = F.when(F.col("is_risky"), " ⚠️ many callers depend on it").otherwise("")
     count = F.concat(F.col("affected").cast("string"), F.when(F.col("affected") == 1, " function").otherwise(" functions"))
     listed = F.array_join(F.transform(F.slice("affected_names", 1, shown), lambda n: F.concat(tick, n, tick)), ", ")
     more = F.size("affected_names") - shown
@@ -135,12 +146,14 @@ def pr_markdown(summary: DataFrame, shown: int = 5) -> DataFrame:
     line = F.when(~F.col("found"), F.concat(F.lit("- `"), F.col("name"), F.lit("` - not in the analyzed call graph (new, or outside of it)."))).otherwise(
         F.concat(F.lit("- `"), F.col("name"), F.lit("` ("), F.col("file_path"), F.lit(") - called by "), count, note, extra)
     )
-    g = summary.select(F.struct("name", line.alias("line")).alias("l"), "is_risky").agg(F.array_sort(F.collect_list("l")).alias("ls"), F.bool_or("is_risky").alias("risky"))
-    tail = F.when(F.coalesce("risky", F.lit(False)), "**Reviewer note:** some of these functions have a meaningful blast radius; look closely at their call sites.").otherwise(
-        "**Reviewer note:** the changes are contained, with a low blast radius."
+    keys = [f"by_{k}" for k in by or []]
+    rows = summary.select(*[F.col(k).alias(f"by_{k}") for k in by or []], F.struct("name", line.alias("line")).alias("l"), "is_risky")
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("l")).alias("ls"), F.bool_or("is_risky").alias("risky"))
+    tail = F.when(F.coalesce("risky", F.lit(False)), "**Reviewer note:** many callers depend on some of these functions; check the places that call them.").otherwise(
+        "**Reviewer note:** few callers depend on these changes."
     )
     body = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
-    return g.select(F.concat(F.lit("## What this PR changes\n\n"), body, F.lit("\n\n"), tail).alias("markdown"), F.coalesce("risky", F.lit(False)).alias("any_risky"))
+    return g.select(*[F.col(f"by_{k}").alias(k) for k in by or []], F.concat(F.lit("## What this PR changes\n\n"), body, F.lit("\n\n"), tail).alias("markdown"), F.coalesce("risky", F.lit(False)).alias("any_risky"))
 
 
 def connections(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, security
 from ..functions import text as tx
 from ..operators import code, deps, graph, history
 from ..operators import text as passes
+from ..parse import registry
+from ..session import cut
+from ..sources import programs
 from ..sources.synthetic import facts, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,23 +49,28 @@ def _with(*names: str, more: str = "") -> str:
 
 
 _LEVEL = "CASE WHEN {0} <= 5 THEN 'low' WHEN {0} <= 10 THEN 'medium' WHEN {0} <= 20 THEN 'high' ELSE 'critical' END"
-_LIKELY = rf"(name IN ({_ENTRY}) OR regexp_matches(name, '^(test|spec|it|describe|before|after)') OR regexp_matches(name, '^on[A-Z]'))"
+_CONVENTION = "CASE " + " ".join(
+    f"WHEN regexp_matches(file_path, '{p}') AND (" + " OR ".join(([f"name IN ({', '.join(repr(n) for n in names)})"] if names else []) + (["is_default_export"] if d else [])) + f") THEN '{f}'"
+    for f, p, names, d in rules.CONVENTIONS
+) + " END"
+_LIKELY = rf"(name IN ({_ENTRY}) OR regexp_matches(name, '^(test|spec|it|describe|before|after)') OR regexp_matches(name, '^on[A-Z]') OR {_CONVENTION} IS NOT NULL)"
 _DEAD = rf"""dead AS (SELECT f.*, NOT is_exported AND NOT {_TEST} AS safe FROM functions f
   WHERE NOT {_LIKELY} AND name NOT IN (SELECT callee FROM calls)
   AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT replace(replace(lower(callee), '_', ''), '-', '') AS sp, language AS l FROM calls) c
     WHERE c.sp = replace(replace(lower(f.name), '_', ''), '-', '') AND c.l <> f.language))"""
+_CONV_ROWS = f"conv AS (SELECT *, {_CONVENTION} AS framework FROM functions)"
 _EDGES = """last_def AS (SELECT name, arg_max(name || '@' || file_path, row(file_path, fn_ord)) AS target FROM functions GROUP BY name),
 edges AS (SELECT DISTINCT caller AS source, target FROM calls JOIN last_def ON callee = name)"""
 _ENTRIES = rf"""ep0 AS (SELECT name, file_path, start_line, language, 1 AS kind, fn_ord,
   CASE WHEN name IN ('main', '__main__') THEN CASE WHEN contains(file_path, 'test') THEN 'test' ELSE 'cli' END
     WHEN name IN ('handler', 'lambda_handler', 'handle_request') THEN 'server' WHEN name IN ({_VERBS}) THEN 'server'
     WHEN name IN ('describe', 'test', 'it', 'beforeAll', 'afterAll', 'setUp', 'tearDown') THEN 'test'
-    WHEN lower(name) = 'run' AND (contains(file_path, 'cmd/') OR contains(file_path, 'cli/')) THEN 'cli' END AS type,
-  CASE WHEN name IN ('main', '__main__') THEN name || '() - application entry point'
-    WHEN name IN ('handler', 'lambda_handler', 'handle_request') THEN name || '() - serverless/Lambda handler'
-    WHEN name IN ({_VERBS}) THEN name || ' route handler in ' || string_split(file_path, '/')[-1]
-    WHEN name IN ('describe', 'test', 'it', 'beforeAll', 'afterAll', 'setUp', 'tearDown') THEN name || '() - test suite entry'
-    ELSE name || '() - CLI command handler' END AS description FROM functions),
+    WHEN lower(name) = 'run' AND (contains(file_path, 'cmd/') OR contains(file_path, 'cli/')) THEN 'cli' WHEN {_CONVENTION} IS NOT NULL THEN 'other' END AS type,
+  CASE WHEN name IN ('main', '__main__') THEN name || '() starts the application'
+    WHEN name IN ('handler', 'lambda_handler', 'handle_request') THEN name || '() is called by a serverless platform'
+    WHEN name IN ({_VERBS}) THEN name || ' answers its verb in ' || string_split(file_path, '/')[-1]
+    WHEN name IN ('describe', 'test', 'it', 'beforeAll', 'afterAll', 'setUp', 'tearDown') THEN name || '() belongs to a test suite'
+    WHEN lower(name) = 'run' AND (contains(file_path, 'cmd/') OR contains(file_path, 'cli/')) THEN name || '() runs a command' ELSE name || '() is called by ' || {_CONVENTION} END AS description FROM functions),
 ep1 AS (SELECT * FROM ep0 WHERE type IS NOT NULL UNION ALL
   SELECT string_split(file_path, '/')[-1], file_path, 1, language, 0, 0, 'server', string_split(file_path, '/')[-1] || ' - HTTP server entry point'
   FROM functions WHERE lower(string_split(file_path, '/')[-1]) IN ('app.js', 'app.ts', 'server.js', 'server.ts', 'index.js', 'index.ts')
@@ -99,7 +107,7 @@ def dead_code(s: SparkSession, d: str) -> DataFrame:
 def alive_by_other_language(s: SparkSession, d: str) -> DataFrame:
     """Functions that only the comparison across languages keeps alive."""
     f, c = _fn(s, d), _calls(s, d)
-    exact = f.filter(~rules.is_likely_entry_point(F.col("file_path"), F.col("name"), F.lit(False))).join(c.select(F.col("callee").alias("name")).distinct(), "name", "left_anti")
+    exact = f.filter(~rules.is_likely_entry_point(F.col("file_path"), F.col("name"), F.col("is_default_export"))).join(c.select(F.col("callee").alias("name")).distinct(), "name", "left_anti")
     return exact.select("name", "file_path", "fn_ord").join(code.dead_code(f, c).select("fn_ord"), "fn_ord", "left_anti")
 
 
@@ -123,7 +131,14 @@ def call_graph_edges(s: SparkSession, d: str) -> DataFrame:
 )
 def call_graph_nodes(s: SparkSession, d: str) -> DataFrame:
     f = _fn(s, d)
-    return code.call_nodes(f, code.dead_code(f, _calls(s, d)), code.entry_points(f))
+    return code.call_nodes(f, code.dead_code(f, _calls(s, d)), code.entry_points(f)).drop("fn_ord")
+
+
+@_query(_with("functions", more=_CONV_ROWS) + "SELECT name, file_path, fn_ord, framework FROM conv WHERE framework IS NOT NULL")
+def framework_exports(s: SparkSession, d: str) -> DataFrame:
+    """Functions that a framework calls by convention."""
+    f = rules.framework_convention(F.col("file_path"), F.col("name"), F.col("is_default_export"))
+    return _fn(s, d).select("name", "file_path", "fn_ord", f.alias("framework")).filter("framework is not null")
 
 
 @_query(_with("functions", more=_ENTRIES) + "SELECT * FROM entries")
@@ -197,29 +212,54 @@ def edge_coverage(s: SparkSession, d: str) -> DataFrame:
     return graph.edge_coverage(*_stops(s, d))
 
 
-_SEEDS = ", ".join(f"('fn_{i}')" for i in range(40))
+_BLAST = """by_name AS (SELECT DISTINCT callee, substr(caller, 1, len(caller) - len(file_path) - 1) AS name, file_path FROM calls),
+steps AS (SELECT DISTINCT callee, name FROM by_name), seeds AS (SELECT DISTINCT name AS seed FROM functions),
+r AS (SELECT seed, seed AS name, 0 AS depth FROM seeds UNION SELECT r.seed, b.name, depth + 1 FROM r JOIN steps b ON b.callee = r.name WHERE depth < 3),
+reached AS (SELECT seed, name, min(depth)::INTEGER AS depth FROM r GROUP BY 1, 2)"""
 
 
-def _seeds(s: SparkSession) -> DataFrame:
-    return s.range(40).select(F.concat(F.lit("fn_"), F.col("id").cast("string")).alias("seed"))
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
 
 
-@_query(
-    _with("functions", "calls", more=f"seeds(seed) AS (VALUES {_SEEDS}), by_name AS (SELECT DISTINCT callee, string_split(caller, '@')[1] AS name FROM calls)").replace("WITH", "WITH RECURSIVE", 1)
-    + ", r AS (SELECT seed, seed AS name, 0 AS depth FROM seeds UNION SELECT r.seed, b.name, depth + 1 FROM r JOIN by_name b ON b.callee = r.name WHERE depth < 3) SELECT seed, name, min(depth)::INTEGER AS depth FROM r WHERE name <> seed GROUP BY 1, 2"
-)
+def _names(f: DataFrame) -> DataFrame:
+    return f.select(F.col("name").alias("seed")).filter("seed is not null").distinct()
+
+
+@_query(_recursive(_with("functions", "calls", more=_BLAST)) + "SELECT seed, name, depth FROM reached WHERE depth > 0")
 def blast_radius(s: SparkSession, d: str) -> DataFrame:
-    return graph.blast_radius(_fn(s, d), _calls(s, d), _seeds(s)).select("seed", "name", "depth")
+    """Callers up to three steps away, from every function name."""
+    f = _fn(s, d)
+    return graph.blast_radius(f, _calls(s, d), _names(f)).select("seed", "name", "depth")
 
 
 @_query(None)
 def blast_radius_paths(s: SparkSession, d: str) -> DataFrame:
-    """With the files and call paths of first discovery, from every function name."""
+    """With the files and call paths of first discovery."""
     f = _fn(s, d)
-    r = graph.blast_radius(f, _calls(s, d), f.select(F.col("name").alias("seed")).filter("seed is not null").distinct())
+    r = graph.blast_radius(f, _calls(s, d), _names(f))
     return r.select("seed", "name", "file_path", "depth", F.array_join("call_path", "|").alias("call_path"))
 
 
+@_query(
+    _recursive(_with("functions", "calls", more=_BLAST))
+    + "SELECT s.seed, count(r.name) AS functions FROM seeds s LEFT JOIN reached r ON r.seed = s.seed AND r.depth > 0 GROUP BY 1"
+)
+def blast_summary(s: SparkSession, d: str) -> DataFrame:
+    f = _fn(s, d)
+    names = cut(_names(f))
+    return graph.blast_summary(graph.blast_radius(f, _calls(s, d), names), names).select("seed", "functions")
+
+
+@_query(
+    "WITH v(functions, files) AS (SELECT a.range, b.range FROM range(40) a, range(15) b) SELECT functions, files, CASE WHEN functions = 0 OR functions <= 5 AND files <= 2 THEN 'low' WHEN functions <= 15 AND files <= 5 THEN 'medium' WHEN functions <= 30 AND files <= 10 THEN 'high' ELSE 'critical' END AS risk FROM v"
+)
+def blast_risk_levels(s: SparkSession, d: str) -> DataFrame:
+    """The risk of every pair of counts about the thresholds."""
+    v = s.range(40).select(F.col("id").alias("functions")).crossJoin(s.range(15).select(F.col("id").alias("files")))
+    return v.withColumn("risk", rules.blast_risk(F.col("functions"), F.col("files")))
+
+
 _FILE_EDGES = """fe AS (SELECT DISTINCT t.file_path AS target, s.file_path AS dependent FROM edges
   JOIN (SELECT DISTINCT name || '@' || file_path AS id, file_path FROM functions) s ON source = s.id
   JOIN (SELECT DISTINCT name || '@' || file_path AS id, file_path FROM functions) t ON edges.target = t.id WHERE s.file_path <> t.file_path)"""
@@ -243,22 +283,42 @@ g AS (SELECT r.seed, count(*) FILTER (WHERE fe.target IS NOT NULL) AS direct, co
 SELECT seed, direct, indirect, direct + indirect AS total, CASE WHEN direct + indirect <= 3 THEN 'low' WHEN direct + indirect <= 10 THEN 'medium' WHEN direct + indirect <= 25 THEN 'high' ELSE 'critical' END AS risk FROM g"""
 )
 def change_impact(s: SparkSession, d: str) -> DataFrame:
-    edges = graph.written(_file_edges(s, d))
+    edges = cut(_file_edges(s, d))
     return graph.change_impact(edges, edges.select(F.col("target").alias("seed")).distinct())
 
 
+_ASKED = """last_node AS (SELECT name, arg_max(struct_pack(id := name || '@' || file_path, file_path := file_path), row(file_path, fn_ord)) AS n FROM functions GROUP BY name),
+asked AS (SELECT name, n.id AS seed, n.file_path AS file_path FROM last_node UNION ALL SELECT 'fn_missing', NULL, NULL),
+r AS (SELECT DISTINCT seed, seed AS node, 0 AS depth FROM asked WHERE seed IS NOT NULL UNION SELECT r.seed, e.source, depth + 1 FROM r JOIN edges e ON e.target = r.node WHERE depth < 3),
+ids AS (SELECT name || '@' || file_path AS id, max(name) AS other FROM functions GROUP BY 1),
+g AS (SELECT seed, count(*) AS n, list(other ORDER BY other) AS names FROM (SELECT DISTINCT seed, node FROM r WHERE node <> seed) x LEFT JOIN ids ON ids.id = node GROUP BY 1),
+drafts AS (SELECT name, a.file_path, coalesce(n, 0) AS affected, coalesce(names, []) AS names, a.seed IS NOT NULL AS found FROM asked a LEFT JOIN g ON g.seed = a.seed)"""
+
+
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    return _fn(s, d).select("name").distinct().unionByName(s.createDataFrame([("fn_missing",)], "name string"))
+
+
+@_query(_recursive(_with("functions", "calls", more=_EDGES + ", " + _ASKED)) + "SELECT name, affected, found, affected > 5 AS is_risky FROM drafts")
+def pr_draft(s: SparkSession, d: str) -> DataFrame:
+    """Every function name as changed, and one that does not exist."""
+    nodes, edges = _nodes_edges(s, d)
+    return graph.pr_summary(nodes, edges, _changed(s, d)).select("name", "affected", "found", "is_risky")
+
+
 @_query(
-    _with("functions", "calls", more=_EDGES + f", names(name) AS (VALUES {_SEEDS}, ('fn_missing')), asked AS (SELECT n.name, l.target AS seed FROM names n LEFT JOIN last_node l USING (name))")
-    .replace("names(name)", "last_node AS (SELECT name, arg_max(name || '@' || file_path, row(file_path, start_line)) AS target FROM functions GROUP BY name), names(name)")
-    .replace("WITH", "WITH RECURSIVE", 1)
-    + """, r AS (SELECT DISTINCT seed, seed AS node, 0 AS depth FROM asked WHERE seed IS NOT NULL UNION SELECT r.seed, e.source, depth + 1 FROM r JOIN edges e ON e.target = r.node WHERE depth < 3),
-g AS (SELECT seed, count(DISTINCT node) AS n FROM r WHERE node <> seed GROUP BY 1)
-SELECT name, coalesce(n, 0) AS affected, a.seed IS NOT NULL AS found, coalesce(n, 0) > 5 AS is_risky FROM asked a LEFT JOIN g ON g.seed = a.seed"""
+    _recursive(_with("functions", "calls", more=_EDGES + ", " + _ASKED))
+    + """, lines AS (SELECT name, affected, '- `' || name || '`' || CASE WHEN NOT found THEN ' - not in the analyzed call graph (new, or outside of it).'
+  ELSE ' (' || file_path || ') - called by ' || affected || CASE WHEN affected = 1 THEN ' function' ELSE ' functions' END || CASE WHEN affected > 5 THEN ' ⚠️ many callers depend on it' ELSE '' END
+    || CASE WHEN affected = 0 THEN '' ELSE chr(10) || '  - Affects: ' || array_to_string(list_transform(names[1:5], lambda n: '`' || n || '`'), ', ')
+      || CASE WHEN affected > 5 THEN ', +' || (affected - 5) || ' more' ELSE '' END END END AS line FROM drafts)
+SELECT name, '## What this PR changes' || chr(10) || chr(10) || line || chr(10) || chr(10) || CASE WHEN affected > 5 THEN '**Reviewer note:** many callers depend on some of these functions; check the places that call them.'
+  ELSE '**Reviewer note:** few callers depend on these changes.' END AS markdown FROM lines"""
 )
-def pr_draft(s: SparkSession, d: str) -> DataFrame:
+def pr_markdown(s: SparkSession, d: str) -> DataFrame:
+    """A draft for each function name, as if it alone were changed."""
     nodes, edges = _nodes_edges(s, d)
-    names = _seeds(s).select(F.col("seed").alias("name")).unionByName(s.createDataFrame([("fn_missing",)], "name string"))
-    return graph.pr_summary(nodes, edges, names).select("name", "affected", "found", "is_risky")
+    return graph.pr_markdown(graph.pr_summary(nodes, edges, _changed(s, d)), by=["name"]).drop("any_risky")
 
 
 # -- files --
@@ -316,13 +376,36 @@ def complexity_tokens(s: SparkSession, d: str) -> DataFrame:
     return passes.file_complexity_tokens(facts(s, d, "files"))
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: RE2 has no possessive groups and needs none
+_RE2_STRIP = _quoted(tx._STRIP.replace("*+", "*").replace("++", "+"))
+
+
+@_query(
+    _with("files", more=rf"bare AS (SELECT file_path, regexp_replace(content, {_RE2_STRIP}, '\1\1\2\2\3\3', 'g') AS content FROM files), words AS (SELECT file_path, content, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM bare)")
+    + "SELECT file_path, (1 + len(list_filter(w, lambda x: x IN ("
+    + ", ".join(f"'{w}'" for w in tx._WORDS)
+    + r""")))
+  + len(regexp_extract_all(content || ' ', '\belse\s+if\b')) + len(regexp_extract_all(content, '&&')) + len(regexp_extract_all(content, '\|\|')) + len(regexp_extract_all(content, '\?+')) + len(regexp_extract_all(content, '=>')))::BIGINT AS complexity FROM words"""
+)
+def cyclomatic_complexity(s: SparkSession, d: str) -> DataFrame:
+    """Of whole files, without comments and strings."""
+    return facts(s, d, "files").select("file_path", tx.cyclomatic_complexity(F.col("content")).cast("long").alias("complexity"))
+
+
 _LINES = "l0 AS (SELECT file_path, language, string_split(content, chr(10)) AS ls FROM files), l AS (SELECT file_path, language, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM l0)"
-_ENV = r"NOT regexp_matches(line, 'process\.env|os\.environ|System\.getenv|ENV\[|getenv\(')"
-_CRED = r"(?i)(?:(?:api|secret)[_-]?key|(?:access|auth)[_-]?token|client[_-]?secret)\s*[:=]\s*[''\"]([A-Za-z0-9_\-/+=]{16,})[''\"]"
-_SECRET = rf"""v0 AS (SELECT *, regexp_extract(line, '(AKIA[0-9A-Z]{{16}})', 1) AS a, regexp_extract(line, '{_CRED}', 1) AS c FROM l WHERE {_ENV}),
-v1 AS (SELECT *, CASE WHEN a <> '' AND a <> repeat(left(a, 1), len(a)) THEN a ELSE c END AS v, CASE WHEN a <> '' AND a <> repeat(left(a, 1), len(a)) THEN 'high' ELSE 'medium' END AS severity FROM v0),
-secrets AS (SELECT file_path, no AS line, severity, left(trim(replace(line, v, left(v, 3) || repeat('*', least(20, len(v) - 5)) || right(v, 2)), e' \t\r'), 200) AS line_text FROM v1
-  WHERE v <> '' AND v <> repeat(left(v, 1), len(v)))"""
+_ENV = f"NOT regexp_matches(line, {_quoted(security.ENV_REFERENCE)})"
+_FAKE = f"(regexp_matches(V, {_quoted(security.PLACEHOLDERS)}) OR starts_with(V, '<') AND ends_with(V, '>') OR len(V) >= 6 AND V = repeat(left(V, 1), len(V)))"
+_SECRET = (
+    "v0 AS (SELECT *, " + ", ".join(f"regexp_extract(line, {_quoted(p)}, 1) AS v{i}" for i, (_, p, _) in enumerate(security.SECRETS)) + f" FROM l WHERE {_ENV}),\n"
+    + "v1 AS (SELECT *, " + ", ".join(f"v{i} <> '' AND NOT {_FAKE.replace('(V', f'(v{i}').replace(' V ', f' v{i} ')} AS ok{i}" for i in range(len(security.SECRETS))) + " FROM v0),\n"
+    + "v2 AS (SELECT *, CASE " + " ".join(f"WHEN ok{i} THEN v{i}" for i in range(len(security.SECRETS))) + " END AS v, CASE "
+    + " ".join(f"WHEN ok{i} THEN '{sev}'" for i, (_, _, sev) in enumerate(security.SECRETS)) + " END AS severity FROM v1),\n"
+    + r"secrets AS (SELECT file_path, no AS line, severity, left(trim(replace(line, v, left(v, 3) || repeat('*', least(20, len(v) - 5)) || right(v, 2)), e' \t\r'), 200) AS line_text FROM v2 WHERE v IS NOT NULL)"
+)
 
 
 @_query(_with("files", more=_LINES + ", " + _SECRET) + "SELECT file_path, line::INTEGER AS line, severity, line_text FROM secrets")
@@ -330,7 +413,13 @@ def secret_findings(s: SparkSession, d: str) -> DataFrame:
     return passes.secrets(facts(s, d, "files")).select("file_path", "line", "severity", "line_text")
 
 
-_EXEC = r"execs AS (SELECT file_path, no AS line, 'medium' AS severity FROM l WHERE language IN ('python', 'javascript', 'php', 'ruby') AND regexp_matches(line, '\beval\s*\('))"
+_EXEC = (
+    "execs AS (SELECT * FROM (SELECT file_path, no AS line, CASE "
+    + " ".join(f"WHEN language = '{lang}' AND regexp_matches(line, {_quoted(p)}) THEN '{sev}'" for lang, found in security.EXECUTION.items() for p, sev, _ in found)
+    + " END AS severity FROM l) AS x WHERE severity IS NOT NULL)"
+)
+_CHILD = f"""child AS (SELECT l.file_path, no AS line, 'high' AS severity FROM l JOIN files f USING (file_path) WHERE l.language IN ('javascript', 'typescript')
+  AND regexp_matches(f.content, {_quoted(security.CHILD_PROCESS_IMPORT)}) AND regexp_matches(line, {_quoted(security._DYNAMIC_EXEC)}))"""
 _SQLI = r"""sqli AS (SELECT file_path, no AS line, 'high' AS severity FROM l WHERE
   regexp_matches(line, '(?i)`[^`]*\b(?:SELECT|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\b[^`]*\$\{[^}]+\}[^`]*`')
   OR regexp_matches(line, '(?i)f[''"][^''"]*\b(?:SELECT|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\b[^''"]*\{[^}]+\}[^''"]*[''"]')
@@ -342,14 +431,19 @@ def dynamic_execution(s: SparkSession, d: str) -> DataFrame:
     return passes.dynamic_execution(facts(s, d, "files")).select("file_path", "line", "severity")
 
 
+@_query(_with("files", more=_LINES + ", " + _CHILD) + "SELECT file_path, line::INTEGER AS line, severity FROM child")
+def child_process(s: SparkSession, d: str) -> DataFrame:
+    return passes.child_process(facts(s, d, "files")).select("file_path", "line", "severity")
+
+
 @_query(_with("files", more=_LINES + ", " + _SQLI) + "SELECT file_path, line::INTEGER AS line, severity FROM sqli")
 def sql_injection(s: SparkSession, d: str) -> DataFrame:
     return passes.sql_injection(facts(s, d, "files")).select("file_path", "line", "severity")
 
 
 @_query(
-    _with("files", more=_LINES + ", " + _SECRET + ", " + _EXEC + ", " + _SQLI)
-    + ", u AS (SELECT file_path, 0 AS k, line, severity FROM secrets UNION ALL SELECT file_path, 1, line, severity FROM execs UNION ALL SELECT file_path, 3, line, severity FROM sqli), top AS (SELECT * FROM u ORDER BY file_path, k, line LIMIT 500) SELECT count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM top"
+    _with("files", more=_LINES + ", " + _SECRET + ", " + _EXEC + ", " + _CHILD + ", " + _SQLI)
+    + ", u AS (SELECT file_path, 0 AS k, line, severity FROM secrets UNION ALL SELECT file_path, 1, line, severity FROM execs UNION ALL SELECT file_path, 2, line, severity FROM child UNION ALL SELECT file_path, 3, line, severity FROM sqli), top AS (SELECT * FROM u ORDER BY file_path, k, line LIMIT 500) SELECT count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM top"
 )
 def severity_counts(s: SparkSession, d: str) -> DataFrame:
     return passes.severity_counts(passes.security_findings(facts(s, d, "files")))
@@ -366,7 +460,7 @@ _EXPLAIN_ROLES = " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{w}{chr(3
     )
     + rf"""SELECT file_path, CASE WHEN exps > 0 AND imps = 0 THEN 'Library / utility (no external deps)' WHEN exps > 0 THEN 'Module (imports and exports)' WHEN fns > 0 THEN 'Internal implementation (no exports)' ELSE 'Configuration or data file' END AS purpose,
   CASE WHEN ends_with(low, '.test') OR ends_with(low, '.spec') OR ends_with(low, '_test') OR contains(dir, 'test') THEN base || ' contains automated tests for ' || regexp_replace(low, '\.(test|spec)$', '') || '.'
-    WHEN low IN ('index', 'mod') THEN base || ' is the module entry point that re-exports the public API.' {_EXPLAIN_ROLES}
+    WHEN low IN ('index', 'mod') THEN base || ' is where the module is entered; it exports its parts again.' {_EXPLAIN_ROLES}
     ELSE base || ' defines ' || fns || CASE WHEN fns = 1 THEN ' function in ' ELSE ' functions in ' END || language || '.' END AS explanation FROM m"""
 )
 def file_explanations(s: SparkSession, d: str) -> DataFrame:
@@ -394,8 +488,9 @@ def undeclared_imports(s: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    _with("imports", more="t AS (SELECT DISTINCT file_path, source FROM imports WHERE starts_with(source, '.'))")
-    + "SELECT DISTINCT regexp_replace(file_path, '/[^/]*$', '') || substr(source, 2) || '.ts' AS target, file_path AS dependent FROM t WHERE regexp_replace(file_path, '/[^/]*$', '') || substr(source, 2) || '.ts' IN (SELECT file_path FROM imports)"
+    _with("imports", more=r"""t AS (SELECT DISTINCT file_path, '/repo/web/' || regexp_replace(source, '^\.\.?/', '') AS base, source FROM imports WHERE starts_with(source, '.')),
+tails(pos, tail) AS (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.jsx'), (5, '/index.ts'), (6, '/index.js'), (7, '/index.tsx'))""")
+    + "SELECT DISTINCT arg_min(base || tail, pos) AS target, file_path AS dependent FROM t, tails WHERE base || tail IN (SELECT file_path FROM imports) GROUP BY file_path, source"
 )
 def import_edges(s: SparkSession, d: str) -> DataFrame:
     i = facts(s, d, "imports")
@@ -417,7 +512,8 @@ def nearest_config(s: SparkSession, d: str) -> DataFrame:
     _with("imports") + "SELECT DISTINCT file_path, source FROM imports WHERE (starts_with(source, '@') AND ends_with(source, '/x') AND len(source) >= 3) OR source = 'path'"
 )
 def alias_matches(s: SparkSession, d: str) -> DataFrame:
-    a = s.createDataFrame([("/repo", ["@*/x", "path"], None)], "dir string, patterns array<string>, base_names array<string>")
+    rows = [("/repo/web", ["@*/x"], ["path", "lib"]), ("/repo", ["*"], None)]  # the nearer one counts
+    a = s.createDataFrame(rows, "dir string, patterns array<string>, base_names array<string>")
     return deps.alias_imports(facts(s, d, "imports"), a)
 
 
@@ -528,3 +624,19 @@ def snapshot_deltas(s: SparkSession, d: str) -> DataFrame:
 
     changes = deps.dead_diff(dead.filter("complexity <= 20"), dead.filter("complexity > 5"))
     return deps.snapshot_diff(snap("complexity <= 20", 85, "A"), snap("complexity > 5", 80, "B"), changes).drop("summary")
+
+
+# -- parsers --
+
+
+@_query(programs.functions_sql())
+def parsed_functions(s: SparkSession, d: str) -> DataFrame:
+    """Functions that the parsers find in a program for each part."""
+    f = registry.functions_of(registry.parse_files(programs.programs(s, d)))
+    return f.select("file_path", "name", "start_line", "end_line", "complexity", "is_exported", F.array_join("parameters", "|").alias("parameters"), F.array_join("calls", "|").alias("calls"))
+
+
+@_query(programs.summary_sql())
+def parsed_languages(s: SparkSession, d: str) -> DataFrame:
+    f = registry.files_of(registry.parse_files(programs.programs(s, d)))
+    return f.groupBy("language").agg(F.count(F.lit(1)).alias("files"), *[F.sum(f"n_{c}").cast("long").alias(c) for c in ("functions", "classes", "imports")])
