@@ -21,6 +21,8 @@ SECRETS = [
         "medium",
     ),
 ]
+#: Any of them, to leave out the lines that none can match.
+ANY_SECRET = "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else p for _, p, _ in SECRETS)
 PLACEHOLDERS = r"(?i)^(change[_-]?me|your[_-]?api[_-]?key|xxx+|placeholder|example|dummy|fake|test|todo|secret|password|redacted|null|undefined)$"
 
 

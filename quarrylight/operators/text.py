@@ -43,9 +43,9 @@ def _scan(lines: DataFrame, finding, category: str, order: int) -> DataFrame:
 
 
 def secrets(files: DataFrame) -> DataFrame:
-    # the quick test of the whole file keeps most files from being exploded
-    hit = reduce(lambda a, b: a | b, [F.col("content").rlike(p) for _, p, _ in security.SECRETS])
-    return _scan(_lines(files.filter(hit)), security.secret(F.col("line")), "hardcoded-secret", 0)
+    # one test of the whole file, then one of each line, before the rules are tried in turn
+    hit = files.filter(F.col("content").rlike(security.ANY_SECRET))
+    return _scan(_lines(hit).filter(F.col("line").rlike(security.ANY_SECRET)), security.secret(F.col("line")), "hardcoded-secret", 0)
 
 
 def dynamic_execution(files: DataFrame) -> DataFrame:
