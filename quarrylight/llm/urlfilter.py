@@ -3,16 +3,21 @@
 For each host the paths form a tree of segments. Digits are generalised first; then, level by
 level, segments of a node with more than ``max_children`` different ones and less than
 ``min_share`` of its pages become the wildcard ``*``. From the deepest level up, sibling
-branches with the same rest of the template whose labelled rates do not differ from the siblings'
-pooled rate (two-sided test at ``z``) are merged into ``*``. A template whose smoothed share of bad
+branches with the same rest of the template, with labels, whose rates do not differ from that of
+the other siblings (two-sided test: chi-square of at most ``z2``) are merged into ``*``; a branch
+without any label is like nothing and stays by itself, and so does one whose siblings have none. A template whose smoothed share of bad
 labels, (bad + strength * corpus rate) / (labelled + strength), exceeds ``max_bad`` is
 rejected with all its pages.
 
 The tree is learned on the distinct (host, generalised path) rows, not on pages, and pages
 are joined to their verdict by that key.
 
+Levels are as many as the deepest path has. Each step is one aggregation by the branch and one join
+with its parent, both by equality, so no task holds the segments of a host.
+
 Defined cases: a URL that is null or has no scheme and host has no template and is never
-rejected; segments beyond ``LEVELS`` form one last segment; an empty path is the template ``/``;
+rejected; an empty path is the template ``/``, and paths of more than ``DEEPEST`` segments have the rest of
+them as their last one; a chi-square equal to ``z2`` merges, a rate equal to ``max_bad`` is kept;
 pages without a label count in a template's pages only; without any labels nothing is
 rejected; repeated rows count; an empty table gives an empty result. ``labelled`` pages carry
 0 (good), 1 (bad) or null in the column named ``bad``; other columns are never read.
@@ -22,11 +27,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import cut, sized
+from .common import cut, discard, sized
 
-LEVELS = 6
+#: No real URL gets there (addresses end at a few thousand characters), but plans must end.
+DEEPEST = 40
+#: Levels of the SQL below.
+SQL_LEVELS = 6
 MAX_CHILDREN, MIN_SHARE, Z2, STRENGTH, MAX_BAD = 8, 0.05, 3.84, 20.0, 0.5
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 _PATH = r"^[^:]*://[^/?#]*([^?#]*)"
@@ -41,35 +48,51 @@ def _shape(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_extract(url, _PATH, 1), "[0-9]+", "{n}"), F.lit(""))
 
 
-def _levels(shape: Column) -> list[Column]:
-    parts = F.filter(F.split(shape, "/"), lambda x: x != "")
-    single = [F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in range(LEVELS - 1)]
-    rest = F.array_join(F.slice(parts, LEVELS, F.greatest(F.size(parts) - (LEVELS - 1), F.lit(0))), "/")
-    return [*single, rest]
+def _parts(shape: Column) -> Column:
+    p = F.filter(F.split(shape, "/"), lambda x: x != "")
+    rest = F.array_join(F.slice(p, DEEPEST, F.greatest(F.size(p) - (DEEPEST - 1), F.lit(0))), "/")
+    return F.when(F.size(p) <= DEEPEST, p).otherwise(F.concat(F.slice(p, 1, DEEPEST - 1), F.array(rest)))
 
 
 def learn(shapes: DataFrame, max_children: int = MAX_CHILDREN, min_share: float = MIN_SHARE, z2: float = Z2) -> DataFrame:
-    """(__host, __shape, t1..tL) from (__host, __shape, n, lab, bad)."""
-    s = shapes.select("__host", "__shape", "n", "lab", "bad", *[c.alias(f"t{i + 1}") for i, c in enumerate(_levels(F.col("__shape")))])
-    for d in range(1, LEVELS + 1):
-        node = Window.partitionBy("__host", *[f"t{i}" for i in range(1, d)])
-        child = Window.partitionBy("__host", *[f"t{i}" for i in range(1, d + 1)])
-        t = F.col(f"t{d}")
-        kinds = F.size(F.collect_set(t).over(node))
-        wild = (t != "") & (kinds > max_children) & (F.sum("n").over(child) < F.sum("n").over(node) * min_share)
-        s = s.withColumn(f"t{d}", F.when(wild, "*").otherwise(t))
-    for d in range(LEVELS, 0, -1):
-        others = [f"t{i}" for i in range(1, LEVELS + 1) if i != d]
-        siblings = Window.partitionBy("__host", *others)
-        branch = Window.partitionBy("__host", *others, f"t{d}")
-        lab, bad = F.sum("lab").over(branch).cast("double"), F.sum("bad").over(branch).cast("double")
-        all_lab, all_bad = F.sum("lab").over(siblings).cast("double"), F.sum("bad").over(siblings).cast("double")
-        gap = bad * all_lab - lab * all_bad
-        spread = lab * all_bad * (all_lab - all_bad)
-        s = s.withColumn("__alike", (spread <= 0) | (gap * gap <= F.lit(z2) * spread))
-        like = F.size(F.collect_set(F.when(F.col("__alike"), F.col(f"t{d}"))).over(siblings))
-        s = s.withColumn(f"t{d}", F.when((F.col(f"t{d}") != "") & F.col("__alike") & (like > 1), "*").otherwise(F.col(f"t{d}")))
-    return s.drop("__alike")
+    """(__host, __shape, __t = segments of the template) from (__host, __shape, n, lab, bad)."""
+    s = cut(shapes.withColumn("__t", _parts(F.col("__shape"))))
+    deepest = s.agg(F.coalesce(F.max(F.size("__t")), F.lit(0))).first()[0]
+    for d in range(deepest):
+        # children of the node that the segments before this one are
+        node = F.slice("__t", 1, d)
+        child = s.filter(F.size("__t") > d).groupBy("__host", node.alias("__node"), F.get("__t", F.lit(d)).alias("__seg")).agg(F.sum("n").alias("__cn"))
+        ends = s.filter(F.size("__t") == d).groupBy("__host", F.col("__t").alias("__node")).agg(F.sum("n").alias("__en"))
+        kinds = child.groupBy("__host", "__node").agg(F.count(F.lit(1)).alias("__kinds"), F.sum("__cn").alias("__nn"))
+        kinds = kinds.join(ends, ["__host", "__node"], "left").select(
+            "__host", "__node", F.col("__kinds") + F.when(F.col("__en").isNotNull(), 1).otherwise(0) > max_children, F.col("__nn") + F.coalesce("__en", F.lit(0))
+        ).toDF("__host", "__node", "__many", "__nn")
+        wild = child.join(kinds.filter("__many"), ["__host", "__node"]).filter(F.col("__cn") < F.col("__nn") * min_share).select("__host", "__node", "__seg", F.lit(True).alias("__wild"))
+        at = s.withColumn("__node", node).withColumn("__seg", F.get("__t", F.lit(d)))
+        star = F.concat(F.col("__node"), F.array(F.lit("*")), F.slice("__t", d + 2, DEEPEST))
+        s = _again(s, at.join(wild, ["__host", "__node", "__seg"], "left").withColumn("__t", F.when(F.col("__wild"), star).otherwise(F.col("__t"))))
+    for d in range(deepest - 1, -1, -1):
+        # siblings agree in everything but this segment
+        rest = F.array_join(F.concat(F.slice("__t", 1, d), F.array(F.lit("")), F.slice("__t", d + 2, DEEPEST)), "/")
+        at = s.withColumn("__rest", F.when(F.size("__t") > d, rest)).withColumn("__seg", F.get("__t", F.lit(d)))
+        branch = at.filter("__rest is not null").groupBy("__host", "__rest", "__seg").agg(F.sum("lab").cast("double").alias("__l"), F.sum("bad").cast("double").alias("__b"))
+        pool = branch.groupBy("__host", "__rest").agg(F.sum("__l").alias("__L"), F.sum("__b").alias("__B")).withColumnsRenamed({"__L": "__all", "__B": "__allbad"})
+        l, b, al, ab = (F.col(c) for c in ("__l", "__b", "__all", "__allbad"))
+        gap = b * al - l * ab
+        # of branch and others: chi-square = gap ** 2 * all / (l * (all - l) * allbad * (all - allbad))
+        like = (l > 0) & (al > l) & (gap * gap * al <= F.lit(float(z2)) * l * (al - l) * ab * (al - ab))
+        alike = branch.join(pool, ["__host", "__rest"]).filter(like).select("__host", "__rest", "__seg")
+        several = alike.groupBy("__host", "__rest").agg(F.count(F.lit(1)).alias("__k")).filter("__k > 1").select("__host", "__rest")
+        merged = alike.join(several, ["__host", "__rest"]).withColumn("__like", F.lit(True))
+        star = F.concat(F.slice("__t", 1, d), F.array(F.lit("*")), F.slice("__t", d + 2, DEEPEST))
+        s = _again(s, at.join(merged, ["__host", "__rest", "__seg"], "left").withColumn("__t", F.when(F.col("__like"), star).otherwise(F.col("__t"))))
+    return s
+
+
+def _again(old: DataFrame, new: DataFrame) -> DataFrame:
+    out = cut(new.select(*old.columns))
+    discard(old)
+    return out
 
 
 def filter_urls(
@@ -94,19 +117,19 @@ def filter_urls(
         .groupBy("__host", "__shape")
         .agg(F.count(F.lit(1)).alias("n"), F.count("__bad").alias("lab"), F.coalesce(F.sum(F.col("__bad").cast("long")), F.lit(0)).alias("bad"))
     )
-    names = [f"t{i}" for i in range(1, LEVELS + 1)]
     tree = learn(shapes, max_children, min_share, z2)
-    corpus = shapes.agg((F.sum("bad") / F.sum("lab")).alias("__rate"))  # one row; null without labels
-    one = Window.partitionBy("__host", *names)
-    total, bads = F.sum("lab").over(one), F.sum("bad").over(one)
-    rate = (bads + F.lit(float(strength)) * F.col("__rate")) / (total + F.lit(float(strength)))
-    path = F.concat(F.lit("/"), F.array_join(F.filter(F.array(*names), lambda x: x != ""), "/"))
+    corpus = shapes.agg(F.try_divide(F.sum("bad"), F.sum("lab")).alias("__rate"))  # one row; null without labels
+    path = F.concat(F.lit("/"), F.array_join("__t", "/"))
+    tree = cut(tree.select("__host", "__shape", "n", "lab", "bad", path.alias("template")))
+    sums = tree.groupBy("__host", "template").agg(*[F.sum(c).alias(f"t_{c}") for c in ("n", "lab", "bad")])
+    total, bads = F.col("t_lab"), F.col("t_bad")
+    rate = F.try_divide(bads + F.lit(float(strength)) * F.col("__rate"), total + F.lit(float(strength)))
     verdict = cut(
-        tree.crossJoin(F.broadcast(corpus)).select(
+        tree.select("__host", "__shape", "template").join(sums, ["__host", "template"]).crossJoin(F.broadcast(corpus)).select(
             "__host",
             "__shape",
-            path.alias("template"),
-            F.sum("n").over(one).alias("template_pages"),
+            "template",
+            F.col("t_n").alias("template_pages"),
             total.alias("template_labelled"),
             bads.alias("template_bad"),
             F.floor(rate * 1000000 + 0.5).cast("long").alias("bad_rate_ppm"),
@@ -139,26 +162,26 @@ def label_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sql(pages: str = "pages", labels: str = "labels") -> str:
-    """DuckDB SQL at the default parameters."""
-    names = [f"t{i}" for i in range(1, LEVELS + 1)]
+    """DuckDB SQL at the default parameters, for paths of up to SQL_LEVELS segments."""
+    names = [f"t{i}" for i in range(1, SQL_LEVELS + 1)]
     levels = ", ".join(
-        [f"coalesce(parts[{i}], '') AS t{i}" for i in range(1, LEVELS)] + [f"coalesce(array_to_string(parts[{LEVELS}:], '/'), '') AS t{LEVELS}"]
+        [f"coalesce(parts[{i}], '') AS t{i}" for i in range(1, SQL_LEVELS)] + [f"coalesce(array_to_string(parts[{SQL_LEVELS}:], '/'), '') AS t{SQL_LEVELS}"]
     )
     steps = []
     last = "s0"
     keep = "host, shape, n, lab, bad"
-    for d in range(1, LEVELS + 1):
+    for d in range(1, SQL_LEVELS + 1):
         node = ", ".join(["host", *names[: d - 1]])
         rest = ", ".join(n for n in names if n != f"t{d}")
         steps.append(f"""g{d}a AS (SELECT *, len(list_distinct(list(t{d}) OVER (PARTITION BY {node}))) AS kinds,
   sum(n) OVER (PARTITION BY {node}, t{d}) AS cn, sum(n) OVER (PARTITION BY {node}) AS nn FROM {last}),
 g{d} AS (SELECT {keep}, {rest}, CASE WHEN t{d} <> '' AND kinds > {MAX_CHILDREN} AND cn < nn * {MIN_SHARE}::DOUBLE THEN '*' ELSE t{d} END AS t{d} FROM g{d}a)""")
         last = f"g{d}"
-    for d in range(LEVELS, 0, -1):
+    for d in range(SQL_LEVELS, 0, -1):
         rest = ", ".join(n for n in names if n != f"t{d}")
         steps.append(f"""m{d}a AS (SELECT *, (sum(lab) OVER b)::DOUBLE AS bl, (sum(bad) OVER b)::DOUBLE AS bb, (sum(lab) OVER s)::DOUBLE AS sl, (sum(bad) OVER s)::DOUBLE AS sb
-  FROM {last} WINDOW b AS (PARTITION BY host, {rest}, t{d}), s AS (PARTITION BY host, {rest})),
-m{d}b AS (SELECT *, (bl * sb * (sl - sb) <= 0 OR (bb * sl - bl * sb) * (bb * sl - bl * sb) <= {Z2}::DOUBLE * (bl * sb * (sl - sb))) AS alike FROM m{d}a),
+  FROM {last} WINDOW b AS (PARTITION BY host, {rest}, t{d}), s AS (PARTITION BY host, {rest}, t{d} = '')),
+m{d}b AS (SELECT *, (t{d} <> '' AND bl > 0 AND sl > bl AND (bb * sl - bl * sb) * (bb * sl - bl * sb) * sl <= {Z2}::DOUBLE * bl * (sl - bl) * sb * (sl - sb)) AS alike FROM m{d}a),
 m{d}c AS (SELECT *, len(list_distinct(list(CASE WHEN alike THEN t{d} END) OVER (PARTITION BY host, {rest}))) AS likes FROM m{d}b),
 m{d} AS (SELECT {keep}, {rest}, CASE WHEN t{d} <> '' AND alike AND likes > 1 THEN '*' ELSE t{d} END AS t{d} FROM m{d}c)""")
         last = f"m{d}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 from quarrylight.llm import ann, knnquality, langid, spm, urlfilter
 
@@ -111,7 +111,7 @@ def test_quality_held_out_and_against_plain_products(spark):
     assert np.mean([got[i]["keep"] == bool(q) for i, q in truth.items()]) >= 0.93
     assert np.mean([got[i]["keep"] for i, q in truth.items() if q == 1]) >= 0.98
     few = docs.filter("doc_id < 60")
-    voters = knnquality.fit(docs, train)
+    voters, gaps = knnquality.fit(docs, train), []
     for r in few.collect():
         raw = np.frombuffer(r["text"].encode(), np.uint8)
         c = knnquality.term_counts(raw, np.array([0, len(raw)]))
@@ -119,7 +119,9 @@ def test_quality_held_out_and_against_plain_products(spark):
         sims = sorted(((-int(np.floor(float(q @ v) * 100000 + 0.5)), k) for k, v in enumerate(voters.vectors) if voters.place.get(r["doc_id"]) != k))[: knnquality.K]
         w = np.array([max(-s, 0) for s, _ in sims], float)
         want = (w * voters.labels[[k for _, k in sims]]).sum() / w.sum() if w.sum() else voters.mean
-        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=0.05)
+        gaps.append(abs(got[r["doc_id"]]["score"] - want))
+    # single and blocked products may round one similarity to another step, and so swap the last neighbour
+    assert sum(g <= 1e-5 for g in gaps) >= len(gaps) - 2 and max(gaps) <= 0.05
 
 
 def test_quality_edges_of_input(spark):
@@ -165,7 +167,7 @@ def pages(spark, rows):
 def test_url_templates(spark):
     rows, n = [], 0
     for i in range(400):
-        for path, bad in ((f"news/{i}", i % 20 == 0), (f"user{chr(97 + i % 26)}{chr(97 + i // 26)}/profile", 0), (f"casino/{i}/win", i % 10 != 0), (f"blog/{i}", i % 19 == 0)):
+        for path, bad in ((f"news/{i}", i % 20 == 1), (f"user{chr(97 + i % 26)}{chr(97 + i // 26)}/profile", 0), (f"casino/{i}/win", i % 10 != 0), (f"blog/{i}", i % 18 == 1)):
             rows.append((n, f"http://Site.example:80/{path}?q=1#x", int(bad) if i % 2 else None))
             n += 1
     rows += [(n, None, 1), (n + 1, "not a url", 1), (n + 2, "http://lone.example", 1), (n + 3, "ftp://u:p@lone.example/", None), (n + 4, "http://deep.example/" + "/".join("abcdefghij"), 0), (n + 4, "http://deep.example/" + "/".join("abcdefghij"), 0)]
@@ -181,3 +183,78 @@ def test_url_templates(spark):
     assert out[n + 4]["template"] == "/a/b/c/d/e/f/g/h/i/j" and out[n + 4]["template_pages"] == 2
     assert urlfilter.filter_urls(pages(spark, [])).count() == 0
     assert not any(r["rejected"] for r in urlfilter.filter_urls(pages(spark, [(1, "http://a.b/c", None)])).collect())
+
+
+def test_branches_without_labels_are_like_nothing(spark):
+    rows = [(i, f"http://h.example/bad/{chr(97 + i % 26)}x{i}", 1) for i in range(50)] + [(100 + i, f"http://h.example/unlabelled/{chr(97 + i % 26)}x{i}", None) for i in range(50)]
+    rows += [(200 + i, f"http://h.example/good/{chr(97 + i % 26)}x{i}", 0) for i in range(50)]
+    out = {r["page_id"]: r for r in urlfilter.filter_urls(pages(spark, rows)).collect()}
+    assert all(out[i]["rejected"] == (i < 50) for i in out)
+    assert out[120]["template"].startswith("/unlabelled/") and out[7]["template"].startswith("/bad/")
+
+
+def test_a_rate_at_the_bound_and_a_host_with_many_segments(spark):
+    rows = [(i, f"http://even.example/a/{'ab'[i % 2]}", i % 2) for i in range(40)] + [(1000 + i, f"http://wide.example/{'s' + ''.join(chr(97 + int(c)) for c in str(i))}/x", i % 2) for i in range(5_000)]
+    rows.append((5, "http://long.example/" + "/".join(["seg"] * 8) + "x" * 50_000, 1))
+    out = {r["page_id"]: r for r in urlfilter.filter_urls(pages(spark, rows), strength=0.0).collect()}
+    assert out[5]["template"].count("/") == 8 and len(out[5]["template"]) > 50_000
+    assert {out[1000 + i]["template"] for i in range(0, 5_000, 500)} == {"/*/x"} and out[1000]["bad_rate_ppm"] == 500_000 and not out[1000]["rejected"]
+
+
+def test_a_repeated_word_is_equal_in_every_byte():
+    def count(text: str) -> float:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return float(knnquality.term_counts(raw, np.array([0, len(raw)]))[0, knnquality.BUCKETS + 5])
+
+    assert count(" stone shore ") == 0 and count(" stone stone ") == 1 and count(" go go go ") == 2
+
+
+def brute_spans(m, text: str, penalty: float):
+    """Words, scripts, scores and spans one character at a time."""
+    raw = text.encode()
+    folded = bytes(langid.fold(np.frombuffer(raw, np.uint8))) if raw else b""
+    words, at = [], 0
+    for w in folded.split(b" "):
+        if w:
+            words.append((at, at + len(w)))
+        at += len(w) + 1
+    if not words:
+        return [(0, len(text), "und", 0)]
+    score = np.zeros((len(words), len(m.languages)))
+    for k, (s, e) in enumerate(words):
+        kinds = langid.word_scripts(np.frombuffer(raw[s:e] + b" ", np.uint8), np.array([0]))
+        if kinds[0]:
+            for c2, c1, c0 in zip(b" " + b" " + folded[s:e], b" " + folded[s:e] + b" ", folded[s:e] + b" ", strict=False):
+                h = (((c2 << 16) | (c1 << 8) | c0) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.TABLE_BITS)
+                score[k, : len(m.scores)] += m.scores[:, h]
+        score[k, ~m.allowed[kinds[0]]] = langid._NEVER
+    best = brute_viterbi(score, penalty)
+    out, chars = [], lambda b: len(raw[:b].decode("utf-8", "ignore"))
+    for k, (s, e) in enumerate(words):
+        if out and out[-1][2] == m.languages[best[k]]:
+            out[-1] = (out[-1][0], chars(e), out[-1][2], out[-1][3] + 1)
+        else:
+            out.append((chars(s), chars(e), m.languages[best[k]], 1))
+    return out
+
+
+def test_spans_equal_a_plain_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", F.lit("x").alias("span"), F.lit(1).alias("n_words"))
+    model = langid.fit(docs, per_language=20)
+    texts = {r["doc_id"]: r["text"] for r in docs.filter("length(text) < 1500").limit(25).collect()}
+    en, fr = (docs.filter(f"lang = '{x}' and length(text) > 200").first()["text"][:200] for x in ("en", "fr"))
+    texts |= {90_001: f"{en} {fr} Это русский {en} 日本語 テキスト 42 {fr}", 90_002: "", 90_003: "...", 90_004: "12 34 é", 90_005: "Ünï ÉÉ Привет"}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], "doc_id long, text string, span string, n_words int")
+    got: dict = {}
+    for r in langid.label_spans(df, model).orderBy("doc_id", "span").collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["lang"], r["n_words"]))
+    differ = [i for i, t in texts.items() if got[i] != brute_spans(model, t, langid.PENALTY)]
+    assert len(differ) <= 1 and {90_001, 90_002, 90_003, 90_005}.isdisjoint(differ)  # sums of float32 may tie where sums of float64 do not
+
+
+def test_languages_without_labels_and_ties(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "mehr", None)], "doc_id long, text string, lang string")
+    out = langid.label_spans(df, langid.fit(df)).collect()
+    assert [(r["doc_id"], r["lang"], r["n_words"]) for r in sorted(out)] == [(1, "und", 2), (2, "und", 1)]
+    same = spark.createDataFrame([(1, "equal text", "b"), (2, "equal text", "a")], "doc_id long, text string, lang string")
+    assert {r["lang"] for r in langid.label_spans(same, langid.fit(same)).collect()} == {"a"}  # of equal scores the earlier name
