@@ -2,75 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import cut, discard, shared_dir, ship_package
+
+__all__ = ["BROADCAST_LIMIT", "bytes_of", "cut", "discard", "row_id", "row_order", "shared_dir", "sized", "table"]
 
 #: A side is broadcast only when its estimated in-memory size is below this.
 BROADCAST_LIMIT = 24 << 20
 
-_own_dir: str | None = None
-_written: dict[str, SparkSession] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset
-    (local tests) a temporary folder of this process."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="quarrylight-")
-    return _own_dir
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, so a
-    lost executor costs a re-read instead of a recomputation. ``discard`` removes it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ql-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[path] = spark
-    back = spark.read.schema(df.schema).parquet(path)
-    back._ql_path = path
-    return back
-
-
-def discard(*dfs: DataFrame) -> None:
-    """Remove tables made by ``cut`` that no later plan reads."""
-    for df in dfs:
-        path = getattr(df, "_ql_path", None)
-        if path and _written.pop(path, None) is not None:
-            _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for path, spark in list(_written.items()):
-        if spark.sparkContext._jsc is None:  # stopped: the JVM is gone
-            continue
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001 - at exit the gateway may already be closing
-            return
-
-
 def bytes_of(df: DataFrame) -> int:
     """Estimated bytes of a table made by ``cut``: its files, times four for decompression."""
     path = getattr(df, "_ql_path", None)
@@ -91,3 +37,9 @@ def sized(small: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
 def row_id(doc_id: Column, text: Column) -> Column:
     """64-bit identity of a row by its id and text; defined for nulls."""
     return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+
+
+def row_order(columns: list[str]) -> Column:
+    """An order of rows by all their columns, of any type (maps cannot be sorted themselves): rows
+    that tie are equal."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

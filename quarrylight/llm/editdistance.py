@@ -1,13 +1,20 @@
 """Exact bounded edit distances of many pairs at once.
 
-The dynamic programme runs over anti-diagonals of a band around the main diagonal, for all
-pairs of a block side by side, so every step is a few vector operations without any
-dependence inside it. Distances count characters, not bytes. Empty strings are allowed.
+What begins and ends alike in a pair is left out; pairs whose characters differ in more places
+than allowed, whatever their order, are refused; for the others the dynamic programme runs over
+anti-diagonals of a band around the main diagonal, for all pairs of a block side by side, so
+every step is a few vector operations without any dependence inside it. Distances count
+characters, not bytes. Empty strings are allowed.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
+
+from .textkernel import string_buffers
 
 #: Above every distance that fits a band, and far enough from the end of 16 bits that adding
 #: one per step never wraps for texts of up to LONG characters; longer ones have cells of 32 bits.
@@ -15,42 +22,69 @@ _FAR = 10_000
 _FAR_LONG = 1 << 30
 _CELLS = 1 << 16
 LONG = 8000
+#: Characters of a block that are compared at once.
+_GRID = 1 << 20
 
 
-def _codes(texts: list[str], length: int, fill: int, back: bool) -> np.ndarray:
-    """(length, texts) characters as numbers, padded; ``back`` reverses each text to the end."""
-    out = np.full((len(texts), length), fill, np.uint32)
-    for row, t in zip(out, texts, strict=True):
-        c = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
-        if back:
-            row[length - len(c) :] = c[::-1] + 2
+@dataclass
+class Texts:
+    """Characters of many texts in one array."""
+
+    codes: np.ndarray  # uint32
+    start: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def of(arr: pa.Array) -> Texts:
+        buf, bounds = string_buffers(arr)
+        if len(buf) and buf.max() >= 0x80:
+            at = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[bounds]
+            codes = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
         else:
-            row[: len(c)] = c + 2
-    return out
+            at, codes = bounds, buf.astype(np.uint32)
+        return Texts(codes, at[:-1], np.diff(at))
+
+    def take(self, i: np.ndarray) -> Texts:
+        return Texts(self.codes, self.start[i], self.size[i])
 
+    def one(self, i: int) -> np.ndarray:
+        return self.codes[self.start[i] : self.start[i] + self.size[i]]
 
-def _block(a: list[str], b: list[str], size_a: np.ndarray, size_b: np.ndarray, band: int) -> np.ndarray:
+    def grid(self, fill: int, back: bool = False) -> np.ndarray:
+        """(longest, texts) characters by place, as numbers from 2; ``back`` puts them last to
+        first, so that all end at the bottom."""
+        n = int(self.size.max(initial=0))
+        at = np.arange(n)[:, None]
+        if back:
+            at = n - 1 - at
+        inside = at < self.size
+        if not len(self.codes):
+            return np.full(inside.shape, fill, np.uint32)
+        return np.where(inside, self.codes[np.where(inside, self.start + at, 0)] + np.uint32(2), np.uint32(fill))
+
+
+def _block(a: Texts, b: Texts, band: int) -> np.ndarray:
     """Distances, exact where they are at most ``band``."""
     k = band + band % 2
-    rows, cols = int(size_a.max()), int(size_b.max())
+    rows, cols, n = int(a.size.max()), int(b.size.max()), len(a.size)
     # room for the band beyond both ends
-    left, right = _codes(a, rows, 0, True), _codes(b, cols, 1, False)
+    left, right = a.grid(0, back=True), b.grid(1)
     if max(left.max(initial=0), right.max(initial=0)) > 0xFFFF:
-        left, right = np.split(np.unique(np.concatenate([left, right], axis=1), return_inverse=True)[1].reshape(len(a), -1), [rows], axis=1)
-    pad_a = np.zeros((rows + 2 * k + cols + 2, len(a)), np.uint16)
-    pad_b = np.ones((cols + 2 * k + rows + 2, len(a)), np.uint16)
-    pad_a[k + cols : k + cols + rows] = left.T
-    pad_b[k : k + cols] = right.T
+        left, right = np.split(np.unique(np.concatenate([left, right]), return_inverse=True)[1].reshape(-1, n), [rows])
+    pad_a = np.zeros((rows + 2 * k + cols + 2, n), np.uint16)
+    pad_b = np.ones((cols + 2 * k + rows + 2, n), np.uint16)
+    pad_a[k + cols : k + cols + rows] = left
+    pad_b[k : k + cols] = right
     cell, far = (np.uint16, _FAR) if max(rows, cols) <= LONG else (np.uint32, _FAR_LONG)
-    even = np.full((k + 1, len(a)), far, cell)
+    even = np.full((k + 1, n), far, cell)
     even[k // 2] = 0
-    odd = np.full((k + 2, len(a)), far, cell)  # with a border on either side
-    total = size_a + size_b
-    out = np.full(len(a), far, np.int64)
-    place = size_b - size_a + k
+    odd = np.full((k + 2, n), far, cell)  # with a border on either side
+    total = a.size + b.size
+    out = np.full(n, far, np.int64)
+    place = b.size - a.size + k
     order = np.argsort(total, kind="stable")
     at, last = 0, int(total.max())
-    miss_e, step_e = np.empty((k + 1, len(a)), cell), np.empty((k + 1, len(a)), cell)
+    miss_e, step_e = np.empty((k + 1, n), cell), np.empty((k + 1, n), cell)
     miss_o, step_o = miss_e[:k], step_e[:k]
     for s in range(last + 1):
         if s and s % 2 == 0:
@@ -71,7 +105,7 @@ def _block(a: list[str], b: list[str], size_a: np.ndarray, size_b: np.ndarray, b
             step_o += cell(1)
             np.minimum(inner, step_o, out=inner)
             odd[0] = odd[-1] = far
-        while at < len(order) and total[order[at]] == s:
+        while at < n and total[order[at]] == s:
             p = order[at]
             if 0 <= place[p] <= 2 * k:
                 out[p] = even[place[p] // 2, p] if s % 2 == 0 else odd[(place[p] - 1) // 2 + 1, p]
@@ -87,17 +121,10 @@ def _grams(c: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h, return_counts=True)
 
 
-def _long_within(a: str, b: str, most: int) -> bool:
-    """For one pair of long texts: what begins and ends alike is left out, pairs with too few
-    common runs of characters are refused (an edit breaks at most q runs of q), and the band
-    widens until it holds the distance."""
-    x, y = (np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) for t in (a, b))
-    n = min(len(x), len(y))
-    head = int(np.append(x[:n] != y[:n], True).argmax())
-    tail = int(np.append(x[len(x) - n + head :][::-1] != y[len(y) - n + head :][::-1], True).argmax())
-    a, b, x, y = a[head : len(a) - tail], b[head : len(b) - tail], x[head : len(x) - tail], y[head : len(y) - tail]
-    if not len(x) or not len(y):
-        return max(len(x), len(y)) <= most
+def _long_within(a: Texts, b: Texts, most: int) -> bool:
+    """For one pair of long texts: pairs with too few common runs of characters are refused (an
+    edit breaks at most q runs of q), and the band widens until it holds the distance."""
+    x, y = a.one(0).astype(np.uint64), b.one(0).astype(np.uint64)
     for q in (6, 8, 10):
         need = max(len(x), len(y)) - q + 1 - q * most
         if need > 0:
@@ -109,29 +136,89 @@ def _long_within(a: str, b: str, most: int) -> bool:
                 return False
     band = min(64, most)
     while True:
-        d = int(_block([a], [b], np.array([len(a)]), np.array([len(b)]), band)[0])
+        d = int(_block(a, b, band)[0])
         if d <= band or band >= most:
             return d <= most
         band = min(most, 4 * band)
 
 
-def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+def _alike(a: Texts, b: Texts, back: bool) -> np.ndarray:
+    """How many characters each pair has in common at its beginning, or at its end."""
+    at_end = lambda t: Texts(t.codes[::-1], len(t.codes) - t.start - t.size, t.size) if back else t
+    x, y = at_end(a).grid(0), at_end(b).grid(1)
+    n = min(len(x), len(y))
+    differ = np.concatenate([x[:n] != y[:n], np.ones((1, x.shape[1]), bool)])
+    return differ.argmax(axis=0)
+
+
+def _trim(a: Texts, b: Texts) -> tuple[Texts, Texts]:
+    head = _alike(a, b, False)
+    a, b = (Texts(t.codes, t.start + head, t.size - head) for t in (a, b))
+    tail = _alike(a, b, True)
+    return Texts(a.codes, a.start, a.size - tail), Texts(b.codes, b.start, b.size - tail)
+
+
+def _bags(t: Texts) -> np.ndarray:
+    """(texts, 64) characters by their number modulo 64."""
+    n = len(t.size)
+    total = int(t.size.sum())
+    at = np.arange(total) + np.repeat(t.start - (np.cumsum(t.size) - t.size), t.size)
+    row = np.repeat(np.arange(n), t.size)
+    return np.bincount(row * 64 + (t.codes[at] & 63).astype(np.int64), minlength=64 * n).reshape(n, 64)
+
+
+def within_texts(a: Texts, b: Texts, most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most ``most``; texts of any length."""
-    size_a, size_b = (np.array([len(t) for t in x], np.int64) for x in (a, b))
-    ok = np.array([x == y for x, y in zip(a, b, strict=True)], bool) & (most >= 0)
-    todo = np.flatnonzero(~ok & (np.abs(size_a - size_b) <= most) & (most > 0))
-    long = np.maximum(size_a[todo], size_b[todo]) > LONG
-    for p in todo[long]:
-        ok[p] = _long_within(a[p], b[p], int(most[p]))
-    todo = todo[~long]
-    todo = todo[np.lexsort((size_a[todo] + size_b[todo], most[todo]))]
+    n = len(most)
+    ok = np.zeros(n, bool)
+    todo = np.flatnonzero((most >= 0) & (np.abs(a.size - b.size) <= most))
+    todo = todo[np.argsort(np.maximum(a.size, b.size)[todo], kind="stable")]
+    longer = np.maximum(a.size, b.size)[todo]
+    left: list[tuple[np.ndarray, Texts, Texts]] = []
     i = 0
     while i < len(todo):
         j = i + 1
-        while j < len(todo) and (j - i) * (most[todo[j]] + 1) < _CELLS and most[todo[j]] <= 1.25 * most[todo[i]] + 1 and j - i < 2048:
+        while j < len(todo) and (j - i + 1) * longer[min(len(todo) - 1, max(j, i))] <= _GRID and longer[j] <= 2 * longer[i] + 32:
+            j = min(len(todo), j + max(1, (j - i) // 2))
+        while j > i + 1 and (j - i) * longer[j - 1] > _GRID:
+            j -= max(1, (j - i) // 4)
+        part = todo[i:j]
+        x, y = _trim(a.take(part), b.take(part))
+        rest, room = np.maximum(x.size, y.size), most[part]
+        plain = np.minimum(x.size, y.size) == 0
+        ok[part[plain]] = rest[plain] <= room[plain]
+        open_ = np.flatnonzero(~plain & (room > 0))
+        if len(open_):
+            x, y = x.take(open_), y.take(open_)
+            gap = _bags(x) - _bags(y)
+            far = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
+            near = np.flatnonzero(far <= room[open_])
+            if len(near):
+                left.append((part[open_[near]], x.take(near), y.take(near)))
+        i = j
+    if not left:
+        return ok
+    rows = np.concatenate([p for p, _, _ in left])
+    x, y = (Texts(left[0][k].codes, np.concatenate([t[k].start for t in left]), np.concatenate([t[k].size for t in left])) for k in (1, 2))
+    room, longer = most[rows], np.maximum(x.size, y.size)
+    room = np.minimum(room, longer)
+    for p in np.flatnonzero(longer > LONG):
+        ok[rows[p]] = _long_within(x.take([p]), y.take([p]), int(room[p]))
+    todo = np.flatnonzero(longer <= LONG)
+    todo = todo[np.lexsort((longer[todo], room[todo]))]
+    i = 0
+    while i < len(todo):
+        j = i + 1
+        while j < len(todo) and (j - i) * (room[todo[j]] + 1) < _CELLS and room[todo[j]] <= 1.25 * room[todo[i]] + 1 and longer[todo[j]] <= 1.5 * longer[todo[i]] + 16 and j - i < 4096:
             j += 1
         part = todo[i:j]
-        d = _block([a[p] for p in part], [b[p] for p in part], size_a[part], size_b[part], int(most[part].max()))
-        ok[part] = d <= most[part]
+        d = _block(x.take(part), y.take(part), int(room[part].max()))
+        ok[rows[part]] = d <= room[part]
         i = j
     return ok
+
+
+def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """The same for lists."""
+    x, y = (pa.array(t, pa.large_string()) for t in (a, b))
+    return within_texts(Texts.of(x), Texts.of(y), np.asarray(most, np.int64))

@@ -1,52 +1,65 @@
 """Fuzzy line deduplication (operator 10).
 
 Lines are normalised (letters in lower case, punctuation dropped) and signed by a SimHash
-of 128 bits over their words. Equal normalised lines are one node. Nodes that agree in at
-least one of ``RADIUS + 1`` blocks of the signature (pigeonhole: every pair within RADIUS
-bits does), lie within ``screen`` bits, and within PAIR_SCREEN bits of a second SimHash of 64
-bits over word pairs, are candidates; a candidate pair is linked when the edit similarity of
-the normalised lines, 1 - levenshtein / longer length, is at least ``similarity``, whatever
-their length. Connected nodes form a group, and of all its occurrences the first one stays, in the order (doc_id with nulls last, row hash, line number).
-
-Beyond 2 ** 28 nodes single blocks would be too coarse a key, so keys combine ``agree``
-blocks out of RADIUS + agree: the guaranteed radius stays the same.
+of 128 bits over the halves of their words, so that a misspelt word keeps one of its two
+features. Equal normalised lines are one node. Nodes that agree in a block of the signature
+(pigeonhole: with ``blocks`` of them every pair within ``blocks - 1`` bits does), whose lengths
+allow the edit similarity, and which lie near enough in the signature and in a second one of as many bits
+over pairs of words (``screens``), are candidates; a candidate pair
+is linked when the edit similarity of the normalised lines, 1 - levenshtein / longer length, is at
+least ``similarity``, whatever their length. Connected nodes form a group, and of all its
+occurrences the first one stays, in the order (doc_id with nulls last, row hash, line number).
+
+Recall. All bounds follow from one assumption: one of TOUCHED half words differs, one at least. ``key_plan`` derives the width of a block from the number of nodes and the number of
+blocks from the width and the words of a line, so that pairs in which one of TOUCHED half words
+differs (one at least) share a block with probability RECALL at every number of nodes and every
+length; the screens hold such pairs up to MARGIN standard deviations. Blocks beyond those of one signature are taken from its bits in another order. With w
+words the edit similarity of 0.92 allows more scattered edits than that, up to about w / 2 single
+letters in as many words; such a pair is found with less probability by itself, and mostly by way
+of others of its group.
 
 Verification goes in two rounds, so that a group of thousands of variants does not cost the
 square of its size: first one candidate for each line, then every candidate pair whose ends
 are still in different groups. The groups are the same as if all pairs were verified.
 
 Defined cases: lines of fewer than ``min_words`` words (blank ones too) are not compared and
-stay; a document is dropped when it had compared lines and all of them leave; rows that
-agree in doc_id and text are one document, of which one row stays; a null text has no lines
-and stays; an empty table gives an empty result. ``n_chars``, if there is such a column,
-follows the text of a changed document. Other columns are carried through, whatever their
-names.
+stay; where a script has no spaces, runs of a few characters count as words; a document is dropped
+when it had compared lines and all of them leave; rows that agree in doc_id and text are one
+document, of which one row stays; a null text has no lines and stays; an empty table gives an
+empty result. ``n_chars``, if there is such a column, follows the text of a changed document. All
+other columns are carried through with their values, whatever their names: inside, columns have
+names of their own.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, discard, row_id, sized
+from .common import cut, discard, row_id, row_order, sized
 from .components import components
-from .editdistance import within
+from .editdistance import Texts, within_texts
 from .textkernel import bigrams, chunks, fold, popcount, sequence_hashes, simhash, span_hashes, spans
 
 BITS = 128
-RADIUS = 8
-SCREEN = 22
-PAIR_SCREEN = 22
+TOUCHED = 16
+RECALL = 0.9
+#: Rows that a block's value has on average, as a power of two.
+OCCUPANCY_BITS = 11
+LEAST_BITS = 13
+MARGIN = 2.3
+PAIR_BITS = 128
 SIMILARITY = 0.92
 MIN_WORDS = 4
+_SUFFIX = np.uint64(0xD6E8FEB86659FD93)
+_SIZES, _WORDS = 20, 4  # bits of a length and of a number of words in a sort key
+_LOW = _SIZES + _WORDS
 
 
 def _lines(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,34 +74,56 @@ def _lines(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return first, starts, ends
 
 
+def _words(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words. Texts without spaces (three-byte characters from E0 to ED) are
+    broken after every character whose number says so, about one in four, wherever it stands."""
+    cuts = bounds
+    wide = np.flatnonzero((b[:-2] >= 0xE0) & (b[:-2] <= 0xED)) if len(b) > 2 else np.zeros(0, np.int64)
+    if len(wide):
+        c = (b[wide].astype(np.uint32) << 12) ^ (b[wide + 1].astype(np.uint32) << 6) ^ b[wide + 2]
+        cuts = np.union1d(bounds, wide[(c * np.uint32(0x9E3779B1)) >> np.uint32(30) == 0] + 3)
+    return spans(b != 32, cuts)
+
+
 def _signer(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, bounds in chunks(batch, "__text"):
+            for part, buf, bounds in chunks(batch, "__text", 1 << 20):
                 first, ls, le = _lines(buf, bounds)
                 b = fold(buf)
-                s, e = spans(b != 32, bounds)
-                h = span_hashes(b, s, e)
+                s, e = _words(b, bounds)
                 w0, w1 = np.searchsorted(s, ls), np.searchsorted(s, le)
+                take = np.flatnonzero(w1 - w0 >= min_words)
                 rows = part.num_rows
+                doc = np.searchsorted(first, take, side="right") - 1
                 zero = pa.array(np.zeros(rows, np.int64))
-                mark = pa.array(np.full(rows, -1, np.int32))
-                yield pa.record_batch(
-                    [part.column("__id"), part.column("__rid"), mark, zero, zero, zero, zero, zero, mark],
-                    names=["__id", "__rid", "__line", "h1", "h2", "s1", "s2", "s3", "size"],
-                )
-                take = np.flatnonzero(w1 - w0 >= min_words)
+                compared = np.bincount(doc, minlength=rows).astype(np.int32)
+                names = ["__id", "__rid", "__line", "h1", "h2", "s1", "s2", "s3", "s4", "size", "words"]
+                mark = [pa.array(np.full(rows, -1, np.int32)), zero, zero, zero, zero, zero, zero, pa.array(np.zeros(rows, np.int32)), pa.array(compared)]
+                yield pa.record_batch([part.column("__id"), part.column("__rid"), *mark], names=names)
                 if not len(take):
                     continue
                 n = (w1 - w0)[take]
                 wb = np.zeros(len(take) + 1, np.int64)
                 np.cumsum(n, out=wb[1:])
                 idx = np.arange(wb[-1]) + np.repeat(w0[take] - wb[:-1], n)
-                hw = h[idx]
-                sig = simhash(hw, wb, BITS // 64).view(np.int64)
-                pair_sig = simhash(*bigrams(hw, wb), 1).view(np.int64)
-                size = np.add.reduceat((e - s)[idx], wb[:-1]) + n - 1
-                doc = np.searchsorted(first, take, side="right") - 1
+                ws, we = s[idx], e[idx]
+                mid = ws + (we - ws + 1) // 2
+                halves = np.empty(2 * len(idx), np.uint64)
+                halves[::2] = span_hashes(b, ws, mid)
+                halves[1::2] = span_hashes(b, mid, we) ^ _SUFFIX
+                sig = simhash(halves, 2 * wb, BITS // 64).view(np.int64)
+                hw = span_hashes(b, ws, we)
+                pair = simhash(*bigrams(hw, wb), PAIR_BITS // 64).view(np.int64)
+                gap = np.ones(len(idx), np.int64)
+                gap[1:] = ws[1:] != we[:-1]
+                gap[wb[:-1]] = 0
+                if b.max() >= 0x80:  # lengths are in characters
+                    at = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+                    chars = at[we] - at[ws]
+                else:
+                    chars = we - ws
+                size = np.add.reduceat(chars + gap, wb[:-1])
                 yield pa.record_batch(
                     [
                         part.column("__id").take(pa.array(doc)),
@@ -98,10 +133,12 @@ def _signer(min_words: int):
                         pa.array(sequence_hashes(hw, wb, 1).view(np.int64)),
                         pa.array(sig[:, 0]),
                         pa.array(sig[:, 1]),
-                        pa.array(pair_sig[:, 0]),
+                        pa.array(pair[:, 0]),
+                        pa.array(pair[:, 1]),
                         pa.array(size.astype(np.int32)),
+                        pa.array(n.astype(np.int32)),
                     ],
-                    names=["__id", "__rid", "__line", "h1", "h2", "s1", "s2", "s3", "size"],
+                    names=names,
                 )
 
     return run
@@ -112,113 +149,174 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __rid, __line, h1, h2, s1, s2, s3, size) of every line with enough words; besides,
-    each row of ``docs`` has an entry with __line = -1."""
+    """(__id, __rid, __line, h1, h2, s1, s2, s3, s4, size, words) of every line with enough words; besides,
+    each row of ``docs`` has an entry with __line = -1, whose ``words`` are its compared lines."""
     d = _rows(docs)
     kind = d.schema["__id"].dataType.simpleString()
-    return d.mapInArrow(_signer(min_words), f"__id {kind}, __rid long, __line int, h1 long, h2 long, s1 long, s2 long, s3 long, size int")
+    return d.mapInArrow(_signer(min_words), f"__id {kind}, __rid long, __line int, h1 long, h2 long, s1 long, s2 long, s3 long, s4 long, size int, words int")
 
 
-def key_plan(nodes: int) -> tuple[int, int]:
-    """(blocks, agree): keys of ``agree`` blocks, wide enough for so many nodes."""
-    agree = 1
-    while agree < 6 and agree * BITS // (RADIUS + agree) < math.log2(max(2, nodes)) - 14:
-        agree += 1
-    return RADIUS + agree, agree
+def apart(words: float) -> float:
+    """Share of bits that differ, on average, between lines of so many words when one of TOUCHED
+    half words differs, one at least."""
+    touched = max(1.0, 2 * words / TOUCHED)
+    return math.acos(max(0.0, 1 - touched / (2 * words))) / math.pi
 
 
-def _block_values(s1: np.ndarray, s2: np.ndarray, blocks: int) -> list[np.ndarray]:
-    edge = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    out = []
-    for lo, hi in itertools.pairwise(edge):
-        if hi <= 64:
-            v = s1 >> np.uint64(lo)
-        elif lo >= 64:
-            v = s2 >> np.uint64(lo - 64)
-        else:
-            v = (s1 >> np.uint64(lo)) | (s2 << np.uint64(64 - lo))
-        out.append(v & np.uint64((1 << (hi - lo)) - 1))
-    return out
+def screens() -> tuple[np.ndarray, np.ndarray]:
+    """(bits, bits of the second signature) within which candidates lie, by words, from 0 to 15 for
+    lines of that many and more. Of few words too few pairs stay the same for the second one to tell."""
+
+    def most(bits: int, share: float) -> int:
+        return math.ceil(bits * share + MARGIN * math.sqrt(bits * share * (1 - share)))
 
+    one, two = [], []
+    for w in range(1 << _WORDS):
+        w = max(w, MIN_WORDS)
+        one.append(most(BITS, apart(w)))
+        broken = 2 * max(1.0, 2 * w / TOUCHED) / (w - 1)  # a word is in two pairs
+        two.append(most(PAIR_BITS, math.acos(1 - broken) / math.pi) if w >= 8 else PAIR_BITS)
+    return np.array(one), np.array(two)
 
-def _spread(blocks: int, agree: int):
-    sets = list(itertools.combinations(range(blocks), agree))
-    width = math.ceil(BITS / blocks)
+
+def key_plan(nodes: int, recall: float = RECALL) -> tuple[int, list[int]]:
+    """(bits of a block, blocks for lines of 0, 1, 2 ... words; the last for all longer ones, and that
+    of MIN_WORDS for shorter ones)."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, nodes))) - OCCUPANCY_BITS)
+    own = BITS // bits  # those of the signature as it is
+    need = []
+    for words in range(MIN_WORDS, TOUCHED + 1):
+        differ = round(BITS * apart(words))
+        intact = math.comb(BITS - bits, differ) / math.comb(BITS, differ)
+        need.append(max(own, math.ceil(math.log(1 - recall) / math.log1p(-intact))))
+    return bits, [need[0]] * MIN_WORDS + need
+
+
+def block_places(bits: int, blocks: int) -> list[np.ndarray]:
+    """The bits of each block: a signature is cut up whole, then again in another order."""
+    own = BITS // bits
+    out: list[np.ndarray] = []
+    while len(out) < blocks:
+        turn = len(out) // own
+        order = np.arange(BITS) if turn == 0 else np.random.default_rng([11, turn]).permutation(BITS)
+        out += [order[i * bits : (i + 1) * bits] for i in range(own)]
+    return out[:blocks]
+
+
+def _spread(bits: int, blocks: list[int]):
+    places = block_places(bits, max(blocks))
+    shift, wide = np.uint64(_LOW), np.uint64(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per = np.array(blocks)
         for batch in batches:
-            s1, s2 = (batch.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
-            values = _block_values(s1, s2, blocks)
-            for t, members in enumerate(sets):
-                key = np.full(batch.num_rows, 0, np.uint64)
-                for m in members:
-                    key = (key << np.uint64(width)) | values[m]
+            for i in range(0, batch.num_rows, 8192):
+                part = batch.slice(i, 8192)
+                s1, s2 = (part.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
+                words = part.column("words").to_numpy()
+                own = per[np.minimum(words, len(per) - 1)]
+                size = np.minimum(part.column("size").to_numpy().astype(np.uint64), np.uint64((1 << _SIZES) - 1))
+                low = (size << np.uint64(_WORDS)) | np.minimum(words, (1 << _WORDS) - 1).astype(np.uint64)
+                bit = np.unpackbits(np.stack([s1, s2], axis=1).view(np.uint8), axis=1, bitorder="little")
+                rows = [np.flatnonzero(own > t) for t in range(int(own.max(initial=0)))]
+                keys = []
+                for t, r in enumerate(rows):
+                    packed = np.packbits(bit[r[:, None], places[t]] if len(r) < len(s1) else bit[:, places[t]], axis=1)
+                    eight = np.zeros((len(r), 8), np.uint8)
+                    eight[:, 8 - packed.shape[1] :] = packed
+                    value = eight.view(">u8").reshape(-1).astype(np.uint64) >> np.uint64(8 * packed.shape[1] - bits)
+                    keys.append((((np.uint64(t) << wide) | value) << shift) | low[r])
+                at = pa.array(np.concatenate(rows))
                 yield pa.record_batch(
-                    [pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key.view(np.int64)), *[batch.column(c) for c in ("size", "h1", "s1", "s2", "s3")]],
-                    names=["t", "key", "size", "h1", "s1", "s2", "s3"],
+                    [pa.array(np.concatenate(keys).view(np.int64)), *[part.column(c).take(at) for c in ("h1", "s1", "s2", "s3", "s4")]], names=["k", "h1", "s1", "s2", "s3", "s4"]
                 )
 
     return run
 
 
-def _candidates(blocks: int, agree: int, screen: int, similarity: float):
-    sets = list(itertools.combinations(range(blocks), agree))
+def _masks(places: list[np.ndarray]) -> list[tuple[np.uint64, np.uint64]]:
+    out = []
+    for p in places:
+        lo, hi = (sum(1 << int(x - base) for x in p if base <= x < base + 64) for base in (0, 64))
+        out.append((np.uint64(lo), np.uint64(hi)))
+    return out
+
+
+def _candidates(bits: int, blocks: list[int], similarity: float):
+    places = block_places(bits, max(blocks))
+    masks, wide = _masks(places), np.uint64(bits)
+    sizes, (first, second) = np.uint64((1 << _SIZES) - 1), screens()
+    widest = int(first.max())
 
-    def emit(t, key, size, h1, s1, s2, s3):
-        n = len(key)
+    def emit(k, h1, s1, s2, s3, s4):
+        u = k.view(np.uint64)
+        bucket, size = u >> np.uint64(_LOW), ((u >> np.uint64(_WORDS)) & sizes).astype(np.int64)
+        words = (u & np.uint64((1 << _WORDS) - 1)).astype(np.int64)
+        n = len(bucket)
         new = np.ones(n, bool)
-        new[1:] = (key[1:] != key[:-1]) | (t[1:] != t[:-1])
+        new[1:] = bucket[1:] != bucket[:-1]
         at = np.append(np.flatnonzero(new), n)
-        ends = np.repeat(at[1:], np.diff(at))
-        values = _block_values(s1, s2, blocks)
-        rows, step = np.arange(n), 1
-        longest = size / similarity  # in a bucket sizes ascend: partners beyond this length cannot be similar
+        # in a bucket sizes ascend: partners beyond this length cannot be similar
+        most = np.floor(size / similarity + 1e-9).astype(np.int64)
+        most[size == int(sizes)] = 1 << 40  # lengths from here on are not told apart
+        upto = np.repeat(at[1:], np.diff(at))
+        # last row of the bucket that is short enough: sizes ascend within buckets
+        order = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at)) << 42
+        upto = np.minimum(upto, np.searchsorted(order + size, order + np.minimum(most, (1 << 41)), side="right"))
+        rows, step = np.flatnonzero(upto - np.arange(n) > 1), 1
         while len(rows):
-            rows = rows[rows + step < ends[rows]]
-            rows = rows[size[rows + step] <= longest[rows]]
+            rows = rows[rows + step < upto[rows]]
             other = rows + step
-            apart = popcount(s1[rows] ^ s1[other]) + popcount(s2[rows] ^ s2[other])
-            near = apart <= screen
-            near[near] = popcount(s3[rows[near]] ^ s3[other[near]]) <= PAIR_SCREEN
-            a, b, apart = rows[near], other[near], apart[near]
-            if len(a):
-                # a pair that shares several keys is reported under the first of them
-                same = np.stack([values[m][a] == values[m][b] for m in range(blocks)])
-                for i, members in enumerate(sets):
-                    earlier = (t[a] > i) & same[list(members)].all(axis=0)
-                    a, b, apart, same = a[~earlier], b[~earlier], apart[~earlier], same[:, ~earlier]
-                yield pa.record_batch([pa.array(np.minimum(h1[a], h1[b])), pa.array(np.maximum(h1[a], h1[b])), pa.array(apart.astype(np.int32))], names=["a", "b", "apart"])
+            d1, d2 = s1[rows] ^ s1[other], s2[rows] ^ s2[other]
+            far = popcount(d1) + popcount(d2)
+            near = np.flatnonzero(far <= widest)
+            if len(near):
+                fewer = np.minimum(words[rows[near]], words[other[near]])
+                pair = popcount(s3[rows[near]] ^ s3[other[near]]) + popcount(s4[rows[near]] ^ s4[other[near]])
+                near = near[(far[near] <= first[fewer]) & (pair <= second[fewer])]
+            if len(near):
+                a, b, d1, d2, far = rows[near], other[near], d1[near], d2[near], far[near]
+                # a pair that shares several blocks is reported under the first of them
+                t = bucket[a] >> wide
+                keep = np.ones(len(a), bool)
+                for i in range(int(t.max())):
+                    keep &= ~((t > i) & (((d1 & masks[i][0]) | (d2 & masks[i][1])) == 0))
+                a, b, far = a[keep], b[keep], far[keep]
+                yield pa.record_batch([pa.array(np.minimum(h1[a], h1[b])), pa.array(np.maximum(h1[a], h1[b])), pa.array(far.astype(np.int32))], names=["a", "b", "apart"])
             step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None
+        held: list[list] = []
+        rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy() for c in ("t", "key", "size", "h1")] + [batch.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2", "s3")]
-            if held is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            t, key = cols[:2]
-            last = np.flatnonzero((key != key[-1]) | (t != t[-1]))
-            end = int(last[-1]) + 1 if len(last) else 0  # the last bucket may go on in the next batch
-            if end:
-                yield from emit(*[c[:end] for c in cols])
-            held = [c[end:].copy() for c in cols]
-        if held is not None:
-            yield from emit(*held)
+            cols = [batch.column(c).to_numpy() for c in ("k", "h1")] + [batch.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2", "s3", "s4")]
+            held.append(cols)
+            rows += batch.num_rows
+            last = cols[0][-1] >> _LOW
+            if rows < 1 << 18 or cols[0][0] >> _LOW == last:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.searchsorted(cols[0] >> _LOW, last))  # the last bucket may go on in the next batch
+            yield from emit(*[c[:end] for c in cols])
+            held = [[c[end:].copy() for c in cols]]
+            rows = len(held[0][0])
+        if held:
+            yield from emit(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
 
-def candidate_pairs(nodes: DataFrame, n_nodes: int, screen: int = SCREEN, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, apart) line hashes and their distance, each pair once, from nodes(h1, s1, s2, s3, size)."""
-    blocks, agree = key_plan(n_nodes)
+def candidate_pairs(nodes: DataFrame, n_nodes: int, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, apart) line hashes and their distance, each pair once, from nodes(h1, s1, s2, s3, s4, size, words)."""
+    bits, blocks = key_plan(n_nodes)
     return (
-        nodes.select("size", "h1", "s1", "s2", "s3")
-        .mapInArrow(_spread(blocks, agree), "t int, key long, size int, h1 long, s1 long, s2 long, s3 long")
-        .repartition("t", "key")
-        .sortWithinPartitions("t", "key", "size")
-        .mapInArrow(_candidates(blocks, agree, screen, similarity), "a long, b long, apart int")
+        nodes.select("size", "words", "h1", "s1", "s2", "s3", "s4")
+        .mapInArrow(_spread(bits, blocks), "k long, h1 long, s1 long, s2 long, s3 long, s4 long")
+        .repartition(F.shiftright("k", _LOW))
+        .sortWithinPartitions("k")
+        .mapInArrow(_candidates(bits, blocks, similarity), "a long, b long, apart int")
     )
 
 
@@ -228,14 +326,22 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, bounds in chunks(batch, "__text"):
             first, ls, le = _lines(buf, bounds)
             b = fold(buf)
-            hs, texts = [], []
-            for d, wanted in enumerate(part.column("__want").to_pylist()):
-                for w in wanted:
-                    at = first[d] + w["__line"]
-                    hs.append(w["h1"])
-                    words = b" ".join(b[ls[at] : le[at]].tobytes().split())
-                    texts.append(words.decode("utf-8", "replace"))
-            yield pa.record_batch([pa.array(hs, pa.int64()), pa.array(texts, pa.string())], names=["h", "line"])
+            s, e = _words(b, bounds)
+            want = part.column("__want")
+            flat = want.flatten()
+            doc = np.repeat(np.arange(part.num_rows), np.diff(want.offsets.to_numpy()))
+            at = first[doc] + flat.field("__line").to_numpy()
+            w0, w1 = np.searchsorted(s, ls[at]), np.searchsorted(s, le[at])
+            keep = b != 32
+            keep[e[e < len(b)]] = True  # one separator behind each word
+            place = np.concatenate([[0], np.cumsum(keep)])
+            lo, hi = place[s[w0]], place[e[w1 - 1]]
+            n = hi - lo
+            offsets = np.concatenate([[0], np.cumsum(n)])
+            idx = np.arange(offsets[-1]) + np.repeat(lo - offsets[:-1], n)
+            data = b[keep][idx]
+            lines = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+            yield pa.record_batch([flat.field("h1"), lines.cast(pa.string())], names=["h", "line"])
 
 
 def _verify(allowed: int):
@@ -243,10 +349,9 @@ def _verify(allowed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            la, lb = (batch.column(c) for c in ("la", "lb"))
-            longer = np.maximum(*[pc.utf8_length(x).to_numpy(zero_copy_only=False) for x in (la, lb)]).astype(np.int64)
+            la, lb = (Texts.of(batch.column(c)) for c in ("la", "lb"))
             # exact in integers: distance * 1000 <= longer length * allowed thousandths
-            ok = within(la.to_pylist(), lb.to_pylist(), longer * allowed // 1000)
+            ok = within_texts(la, lb, np.maximum(la.size, lb.size) * allowed // 1000)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -257,88 +362,78 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     x = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b"
     )
-    return x.select("a", "b", "apart", "la", "lb").mapInArrow(_verify(round((1 - similarity) * 1000)), "a long, b long")
+    return x.select("a", "b", "la", "lb").mapInArrow(_verify(round((1 - similarity) * 1000)), "a long, b long")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, screen: int = SCREEN, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, h2, __first) of the nodes that have a link or several occurrences; __first is the
-    occurrence of their group that stays."""
-    here = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__rid").alias("rid"), F.col("__line").alias("line"))
+def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(h1, h2, __group) of the nodes that have a link or several occurrences, a written table."""
     nodes = cut(
         lines.filter("__line >= 0")
         .groupBy("h1", "h2")
-        .agg(*[F.first(c).alias(c) for c in ("s1", "s2", "s3", "size")], F.min(here).alias("rep"), F.count(F.lit(1)).alias("n"))
+        # columns of any one occurrence, of the same one: hash aggregation without a sort
+        .agg(*[F.first(c).alias(c) for c in ("s1", "s2", "s3", "s4", "size", "words", "__rid", "__line")], F.count(F.lit(1)).alias("n"))
     )
-    pairs = cut(candidate_pairs(nodes, nodes.count(), screen, similarity))
+    pairs = cut(candidate_pairs(nodes, nodes.count(), similarity))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    want = cut(
-        nodes.select("h1", "rep")
-        .join(wanted, "h1")
-        .groupBy(F.col("rep.rid").alias("__rid"))
-        .agg(F.collect_list(F.struct(F.col("rep.line").alias("__line"), "h1")).alias("__want"))
-    )
+    want = cut(nodes.select("h1", "__rid", "__line").join(wanted, "h1").groupBy("__rid").agg(F.collect_list(F.struct("__line", "h1")).alias("__want")))
     found = _rows(docs).join(sized(want), "__rid").select("__text", "__want").mapInArrow(_fetch, "h long, line string")
-    texts = cut(found.dropDuplicates(["h"]))
-    first = cut(_similar(pairs.groupBy("b").agg(F.min(F.struct("a", "apart")).alias("x")).select("x.*", "b"), texts, similarity))
+    texts = cut(found.groupBy("h").agg(F.first("line").alias("line")))
+    first = cut(_similar(pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a")), texts, similarity))
     near = cut(components(first))
-    root = near.select(F.col("node"), F.col("root"))
     rest = (
-        pairs.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-        .join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        pairs.join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+        .join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        .select("a", "b", "apart")
+        .select("a", "b")
     )
-    edges = first.unionByName(_similar(rest, texts, similarity))
+    # of what is known, stars are enough
+    edges = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(rest, texts, similarity))
     roots = cut(components(edges))
-    discard(pairs, want, texts, first, near)
-    grouped = cut(
-        nodes.join(roots, nodes["h1"] == roots["node"], "left")
-        .filter("root is not null or n > 1")
-        .select("h1", "h2", "rep", F.coalesce("root", "h1").alias("__group"))
+    out = cut(
+        nodes.join(roots, nodes["h1"] == roots["node"], "left").filter("root is not null or n > 1").select("h1", "h2", F.coalesce("root", "h1").alias("__group"))
     )
-    least = Window.partitionBy("__group")
-    out = grouped.withColumn("__first", F.min("rep").over(least)).select("h1", "h2", "__first")
+    discard(nodes, pairs, want, texts, first, near, roots)
     return out
 
 
-def decisions(docs: DataFrame, min_words: int = MIN_WORDS, screen: int = SCREEN, similarity: float = SIMILARITY) -> DataFrame:
+def decisions(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(__rid, __drop = lines that leave, __left = compared lines that stay, __rows) of the
-    documents that lose a line or have several rows."""
+    documents that lose a line or have several rows, a written table."""
     lines = cut(signed_lines(docs, min_words))
-    grouped = cut(line_groups(docs, lines, screen, similarity))
-    stays = F.col("__first").isNull() | (
-        F.col("__id").eqNullSafe(F.col("__first.id")) & (F.col("__rid") == F.col("__first.rid")) & (F.col("__line") == F.col("__first.line"))
-    )
-    fate = lines.join(grouped, ["h1", "h2"], "left").select("__rid", "__line", stays.alias("__stays"))
+    groups = line_groups(docs, lines, similarity)
+    own = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__rid").alias("rid"), F.col("__line").alias("line"))
+    again = cut(lines.filter("__line >= 0").join(groups, ["h1", "h2"]).select("__group", "__rid", "__line", own.alias("__own")))
+    first = cut(again.groupBy("__group").agg(F.min("__own").alias("__first")))
+    leave = again.join(sized(first), "__group").filter("__own <> __first")
     # repeated rows bring every line several times: sets of line numbers, and the marks count the rows
-    per = fate.groupBy("__rid").agg(
-        F.collect_set(F.when(~F.col("__stays"), F.col("__line"))).alias("__drop"),
-        F.count_if((F.col("__line") >= 0) & F.col("__stays")).alias("__left"),
-        F.count_if(F.col("__line") < 0).alias("__rows"),
+    drop = leave.groupBy("__rid").agg(F.collect_set("__line").alias("__drop"))
+    marks = lines.filter("__line < 0").groupBy("__rid").agg(F.first("words").alias("__compared"), F.count(F.lit(1)).alias("__rows"))
+    out = cut(
+        marks.join(drop, "__rid", "left")
+        .filter("__drop is not null or __rows > 1")
+        .select("__rid", "__drop", (F.col("__compared") - F.coalesce(F.size("__drop"), F.lit(0))).alias("__left"), "__rows")
     )
-    out = cut(per.filter("size(__drop) > 0 or __rows > 1"))
-    discard(lines)
+    discard(lines, groups, again, first)
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, screen: int = SCREEN, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without repeated lines, with the same columns."""
-    fate = decisions(docs, min_words, screen, similarity)
-
-    x = docs.withColumn("__rid", row_id(F.col("doc_id"), F.col("text"))).join(sized(fate), "__rid", "left")
-    x = x.filter("__drop is null or size(__drop) = 0 or __left > 0")
-    parts = F.split("text", "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop"))
-    after = F.array_join(F.transform(keep, lambda i: F.get(parts, i)), "\n")
-    changed = F.col("__drop").isNotNull() & (F.size("__drop") > 0)
-    x = x.withColumn("__after", F.when(changed, after).otherwise(F.col("text")))
+    fate = decisions(docs, min_words, similarity)
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    d = docs.toDF(*inner.values())
+    text = F.col(inner["text"])
+    x = d.withColumn("__rid", row_id(F.col(inner["doc_id"]), text)).join(sized(fate), "__rid", "left").filter("__drop is null or __left > 0")
+    changed = F.col("__drop").isNotNull()
+    kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(F.col("__drop"), i))
+    x = x.withColumn("__after", F.when(changed, F.array_join(kept, "\n")).otherwise(text))
     new = {"text": F.col("__after")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("__after").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    out = [new.get(c, F.col(c)).alias(c) for c in docs.columns]
+    if "n_chars" in inner:
+        new["n_chars"] = F.when(changed, F.length("__after").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(inner["n_chars"]))
+    out = [new.get(c, F.col(i)).alias(i) for c, i in inner.items()]
     if fate.filter("__rows > 1").isEmpty():
-        return x.select(*out)
-    same = Window.partitionBy("__rid").orderBy(*[F.col(c) for c in docs.columns])
+        return x.select(*out).toDF(*docs.columns)
     many = F.coalesce(F.col("__rows"), F.lit(1)) > 1
+    same = Window.partitionBy("__rid").orderBy(row_order(list(inner.values())))
     one = x.filter(many).withColumn("__n", F.row_number().over(same)).filter("__n = 1")
-    return x.filter(~many).select(*out).unionByName(one.select(*out))
+    return x.filter(~many).select(*out).unionByName(one.select(*out)).toDF(*docs.columns)

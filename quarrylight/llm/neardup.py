@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, discard, row_id, sized
+from .common import cut, discard, row_id, row_order, sized
 from .components import components
 from .textkernel import bigrams, chunks, fold, popcount, simhash, span_hashes, spans
 
@@ -177,10 +177,34 @@ def near_pairs(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, cap: int =
     )
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def _line_hashes(text: Column) -> Column:
+    return F.transform(F.split(text, "\n", -1), F.xxhash64)
+
+
+def signatures_before(docs: DataFrame, before: DataFrame) -> DataFrame:
+    """Signatures of ``docs`` by the texts that they had in ``before``: where a row of the same
+    doc_id is there, one only, and has every line of the text as it is now, its signature is used;
+    else that of the text itself. Only signatures and hashes of lines are joined, never texts."""
+    now = docs.select(
+        F.col("doc_id").alias("__id"), row_id(F.col("doc_id"), F.col("text")).alias("__rid"), _line_hashes(F.col("text")).alias("__lines")
+    ).filter("__id is not null and __lines is not null")
+    one = before.filter("doc_id is not null and text is not null")
+    was = signatures(one).select("__id", F.col("__rid").alias("__was"), "__sig")
+    lines = one.select(F.col("doc_id").alias("__id"), row_id(F.col("doc_id"), F.col("text")).alias("__was"), _line_hashes(F.col("text")).alias("__all"))
+    # an id that several texts have says nothing
+    single = lines.groupBy("__id").agg(F.min("__was").alias("__lo"), F.max("__was").alias("__hi")).filter("__lo = __hi").select("__id", F.col("__lo").alias("__was"))
+    known = lines.join(single, ["__id", "__was"]).dropDuplicates(["__id"]).join(was.dropDuplicates(["__id"]).select("__id", "__sig"), "__id")
+    earlier = now.join(known, "__id").filter(F.size(F.array_except("__lines", "__all")) == 0).select("__id", "__rid", "__sig")
+    earlier = cut(earlier)
+    own = signatures(docs)
+    return own.join(earlier.select("__rid").distinct(), "__rid", "left_anti").unionByName(earlier)
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, before: DataFrame | None = None) -> DataFrame:
     """(__id, __rid, __group, __rank) of every row with a near duplicate. __group is the
-    representative's id; the representative has rank 1."""
-    sig = cut(signatures(docs, id_col, text))
+    representative's id; the representative has rank 1. With ``before`` (columns doc_id and text)
+    rows are compared by the texts that they had there."""
+    sig = cut(signatures(docs, id_col, text) if before is None else signatures_before(docs, before))
     nodes = cut(sig.groupBy("__sig").agg(F.count(F.lit(1)).alias("n")))
     edges = cut(near_pairs(nodes.select("__sig"), nodes.count(), radius))
     roots = cut(components(edges))
@@ -205,18 +229,28 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: in
     )
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with one row of each group, and all rows of no group."""
-    members = cut(groups(docs, radius=radius))
+def keep_one(docs: DataFrame, radius: int = RADIUS, before: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` with one row of each group, and all rows of no group. Inside, columns
+    have names of their own, so that any name may come in. ``before`` has the texts by which rows are
+    compared, where lines have been taken from them since: what is left of a copy no longer resembles
+    its original."""
+    members = cut(groups(docs, radius=radius, before=before))
+    return drop_others(docs, members)
+
+
+def drop_others(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``members``(__rid, __rank) knows and that are no representative."""
     # a row leaves when its (doc_id, text) is never a representative
-    fate = cut(members.groupBy("__rid").agg(F.min("__rank").alias("__best"), F.count(F.lit(1)).alias("__n")))
-    rid = row_id(F.col("doc_id"), F.col("text"))
+    fate = cut(members.groupBy("__rid").agg(F.min("__rank").alias("__best"), F.count(F.lit(1)).alias("__many")))
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    cols = list(inner.values())
+    d = docs.toDF(*cols).withColumn("__rid", row_id(F.col(inner["doc_id"]), F.col(inner["text"])))
     drop = cut(fate.filter("__best > 1").select("__rid"))
-    left = docs.withColumn("__rid", rid).join(sized(drop), "__rid", "left_anti")
-    twice = cut(fate.filter("__best = 1 and __n > 1").select("__rid"))
+    left = d.join(sized(drop), "__rid", "left_anti")
+    twice = cut(fate.filter("__best = 1 and __many > 1").select("__rid"))
     if twice.isEmpty():
-        return left.select(*docs.columns)
+        return left.select(*cols).toDF(*docs.columns)
     # rows that agree in doc_id and text: one of them stays
-    same = Window.partitionBy("__rid").orderBy(*[F.col(c) for c in docs.columns])
+    same = Window.partitionBy("__rid").orderBy(row_order(cols))
     one = left.join(sized(twice), "__rid", "left_semi").withColumn("__n", F.row_number().over(same)).filter("__n = 1")
-    return left.join(sized(twice), "__rid", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+    return left.join(sized(twice), "__rid", "left_anti").select(*cols).unionByName(one.select(*cols)).toDF(*docs.columns)

@@ -172,28 +172,70 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert {find(x) for x in kept} == {find(x) for x in distinct}  # every group keeps one
 
 
-def test_pigeonhole_guarantee(spark):
-    """Every pair within RADIUS bits is a candidate, and once."""
+def planted_signatures(r, pairs: int, bits: int):
+    """Pairs of signatures that differ in so many bits."""
+    base = r.integers(0, 2**64, (pairs, 2), dtype=np.uint64)
+    other = np.unpackbits(base.view(np.uint8), axis=1)
+    for row in other:
+        row[r.choice(128, bits, replace=False)] ^= 1
+    return base, np.packbits(other, axis=1).view(np.uint64).reshape(-1, 2)
+
+
+def test_pigeonhole_guarantee_and_recall_at_every_size(spark):
+    """Every pair within the radius of the blocks is a candidate, and once; at larger distances the
+    planned recall holds, for any number of nodes and any length of lines."""
     r = np.random.default_rng(0)
-    base = r.integers(0, 2**63, (50, 2)).astype(np.uint64)
-    rows, n = [], 0
-    for g in base:
-        for _ in range(4):
-            s = g.copy()
-            for bit in r.choice(128, r.integers(0, 4), replace=False):
-                s[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-            rows.append((n, int(s[0].view(np.int64)), int(s[1].view(np.int64)), 0, 100))
-            n += 1
-    nodes = spark.createDataFrame(rows, "h1 long, s1 long, s2 long, s3 long, size int")
-    want = set()
-    sig = np.array([[x[1], x[2]] for x in rows], np.int64).view(np.uint64)
-    for i in range(n):
-        for j in range(i + 1, n):
-            if np.bitwise_count(sig[i] ^ sig[j]).sum() <= linededup.RADIUS:
-                want.add((i, j))
-    for size in (n, 1 << 40):  # single blocks, and combinations of two
-        got = [(x["a"], x["b"]) for x in linededup.candidate_pairs(nodes, size).collect()]
-        assert len(got) == len(set(got)) and want <= set(got)
+    for words in (5, 30):
+        d = round(128 * linededup.apart(words))
+        rows, planted = [], {"near": set(), "planned": set()}
+        for kind, bits, count in (("near", 3, 60), ("planned", d, 400)):
+            for x, y in zip(*planted_signatures(r, count, bits), strict=True):
+                planted[kind].add((len(rows), len(rows) + 1))
+                rows += [(len(rows) + i, int(s[0].view(np.int64)), int(s[1].view(np.int64)), 0, 0, 100, words) for i, s in enumerate((x, y))]
+        nodes = spark.createDataFrame(rows, "h1 long, s1 long, s2 long, s3 long, s4 long, size int, words int").repartition(4)
+        for size in (1 << 12, 1 << 30, 1 << 40):
+            bits, blocks = linededup.key_plan(size)
+            assert min(blocks) >= 128 // bits > 3
+            got = [(x["a"], x["b"]) for x in linededup.candidate_pairs(nodes, size).collect()]
+            assert len(got) == len(set(got)) and planted["near"] - set(got) == set() if bits <= 32 else True
+            assert len(planted["planned"] & set(got)) >= 0.87 * len(planted["planned"]), (words, size)
+
+
+def test_recall_for_each_length_of_lines(spark):
+    """One letter in one word of eight changed, one at least: nine of ten such pairs are linked."""
+    r = random.Random(5)
+    for words in (4, 6, 8, 24, 100):
+        rows = []
+        for i in range(120):
+            w = [r.choice(WORDS) + r.choice(WORDS) for _ in range(words)]
+            rows.append((2 * i, " ".join(w)))
+            for j in r.sample(range(words), max(1, words // 8)):
+                k = r.randrange(len(w[j]))
+                w[j] = w[j][:k] + "q" + w[j][k + 1 :]
+            rows.append((2 * i + 1, " ".join(w)))
+        kept = {x["doc_id"] for x in linededup.dedup_lines(frame(spark, rows)).select("doc_id").collect()}
+        assert {2 * i for i in range(120)} <= kept
+        assert sum(2 * i + 1 not in kept for i in range(120)) >= 0.9 * 120, words
+
+
+def test_lines_without_spaces(spark):
+    r = random.Random(2)
+    page = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(80))
+    close = page[:30] + "\u4e00" + page[31:]
+    rows = [(1, page + "\nan english footer of this very site"), (2, close + "\nan english footer of this very site"), (3, "".join(reversed(page)))]
+    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 3: rows[2][1]}
+
+
+def test_columns_keep_their_values_whatever_their_names(spark):
+    shared = "a line of several words that both documents have"
+    rows = [(1, shared, 11, 21, 31, {"k": 1}), (2, f"{shared}\nand one more line that is its own", 12, 22, 32, {"k": 2}), (3, "three words here twice over", 13, 23, 33, {"k": 3}), (3, "three words here twice over", 13, 23, 33, {"k": 3})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __rid int, __drop int, c0 int, `__n.x` map<string,int>")
+    for f in (linededup.dedup_lines, neardup.keep_one):
+        out = f(df)
+        assert out.columns == df.columns
+        got = {tuple(x)[0]: tuple(x)[2:] for x in out.collect()}
+        assert got == {1: (11, 21, 31, {"k": 1}), 2: (12, 22, 32, {"k": 2}), 3: (13, 23, 33, {"k": 3})} and out.count() == 3
 
 
 def test_fuzzy_line_edges_of_input(spark):
