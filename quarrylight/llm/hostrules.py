@@ -11,8 +11,10 @@ over hosts), and the host's verdict is joined back to its documents:
 Defined cases: a null or blank text fails the rule ``blank`` and no other, and is always
 rejected; a null source is the host ``''``; repeated rows count and are judged one by one;
 with fewer than two hosts, or no spread between them, the prior has ``default_strength``
-pseudo-documents at the corpus rate; an empty table gives an empty result. Other input
-columns are never read, so their names cannot clash.
+pseudo-documents at the corpus rate, and its strength is kept between 1 and 10,000 in any case; a
+rate equal to ``bad_rate`` is bad, one equal to ``trusted_rate`` is watched; an empty table gives an
+empty result. Other columns are never read, and ``filter_documents`` gives all columns new names
+inside, so none can clash.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ BAD_RATE, TRUSTED_RATE, DEFAULT_STRENGTH = 0.5, 0.01, 10.0
 def rule_flags(text: Column) -> dict[str, Column]:
     """Rule name -> boolean column (true: failed)."""
     n = F.length(text)
-    tokens = F.split(F.translate(text, "\n", " "), " ")
-    words = F.size(tokens)
-    blank = text.isNull() | (F.length(F.trim(F.translate(text, "\n", " "))) == 0)
+    one = F.replace(text, F.lit("\n"), F.lit(" "))
+    words = n - F.length(F.replace(one, F.lit(" "))) + 1  # counted without being cut out
+    blank = text.isNull() | ~text.rlike("[^ \n]")
     return {
         "blank": blank,
         "symbols": ~blank & (F.regexp_count(text, F.lit("[!#$%&*|]")) > words * 0.1),
         "upper": ~blank & (words >= 20) & (F.regexp_count(text, F.lit("[A-Z]")) > n * 0.3),
-        "repeated": ~blank & (words >= 8) & (F.size(F.array_distinct(tokens)) < words * 0.3),
+        "repeated": ~blank & (words >= 8) & (F.size(F.array_distinct(F.split(one, " "))) < words * 0.3),
     }
 
 
@@ -46,7 +48,7 @@ def _failures(docs: DataFrame, text: str, source: str, keep: list[str]) -> DataF
         *[F.col(c) for c in keep],
         F.coalesce(F.lower(F.col(source)), F.lit("")).alias("__host"),
         flags["blank"].cast("int").alias("__blank"),
-        sum((f.cast("int") for f in flags.values()), F.lit(0)).alias("__failed"),
+        F.coalesce(sum((f.cast("int") for f in flags.values()), F.lit(0)), F.lit(0)).alias("__failed"),
     )
 
 
@@ -95,10 +97,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 
 
 def filter_documents(docs: DataFrame, text: str = "text", source: str = "source", **limits: float) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the same columns."""
-    failures = _failures(docs, text, source, docs.columns)
-    verdicts = cut(host_verdicts(_failures(docs, text, source, []), **limits))
-    return failures.join(sized(verdicts), "__host").filter(_keep()).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with the same columns. The rules are evaluated once for
+    the verdicts and once for the filter, into columns that are never null, so that no join
+    condition repeats them."""
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    d = docs.toDF(*inner.values())
+    verdicts = cut(host_verdicts(_failures(d, inner[text], inner[source], []), **limits))
+    mild = verdicts.filter("__verdict <> 'bad'").select("__host", F.when(F.col("__verdict") == "trusted", 2).otherwise(1).alias("__need"))
+    host = F.coalesce(F.lower(F.col(inner[source])), F.lit(""))
+    x = d.withColumn("__host", host).join(sized(cut(mild)), "__host")
+    return x.filter(_kept(F.col(inner[text]), F.col("__need"))).select(*inner.values()).toDF(*docs.columns)
+
+
+def _kept(text: Column, need: Column) -> Column:
+    """Not blank, and fewer failed rules than ``need``; one pass, in the order of the rules' cost."""
+    flags = rule_flags(text)
+    blank = flags.pop("blank")
+    return ~blank & (sum((f.cast("int") for f in flags.values()), F.lit(0)) < need)
 
 
 def sql(columns: str, where: str = "", documents: str = "documents") -> str:
