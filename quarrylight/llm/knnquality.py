@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import sized
 from .sampling import by_label
-from .textkernel import chunks
+from .textkernel import chunks, span_hashes
 
 BUCKETS = 2048
 SHAPES = 6
@@ -63,14 +63,15 @@ def term_counts(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     shape(2, np.flatnonzero(up[:-1] & up[1:] & pair))
     shape(3, np.flatnonzero((buf >= 48) & (buf <= 57)))
     shape(4, np.flatnonzero(buf == 124))
-    # a word equal to the one before: equal lengths, and no byte that differs at that lag
+    # a word equal to the one before: equal lengths, and equal hashes
     space = (buf == 32) | (buf == 10)
     edge = np.flatnonzero(space | np.append(pair == False, False))  # noqa: E712
     size = np.diff(edge)
     i = np.flatnonzero((size[1:] == size[:-1]) & (size[1:] > 1)) + 1
     if len(i):
         w, lag = edge[i] + 1, size[i]
-        same = (buf[w] == buf[w - lag]) & (buf[w + lag - 2] == buf[w - 2]) & (buf[w + (lag - 1) // 2] == buf[w - lag + (lag - 1) // 2])
+        h = span_hashes(buf, w, w + lag - 1)
+        same = h == span_hashes(buf, w - lag, w - 1)
         shape(5, w[same])
     return out
 
