@@ -32,7 +32,7 @@ W_GOOD, W_BAD, W_UNKNOWN = 1.0, 0.2, 0.6
 
 def n_tokens(text: Column) -> Column:
     """Number of pieces between single spaces and line ends, 0 for a null or blank text."""
-    flat = F.translate(text, "\n", " ")
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
     pieces = F.length(flat) - F.length(F.replace(flat, F.lit(" "))) + 1
     return F.when(text.isNull() | (F.length(F.trim(flat)) == 0), 0).otherwise(pieces).cast("long")
 

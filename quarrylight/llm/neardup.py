@@ -178,7 +178,7 @@ def near_pairs(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, cap: int =
 
 
 def _line_hashes(text: Column) -> Column:
-    return F.transform(F.split(text, "\n", -1), F.xxhash64)
+    return F.transform(F.split(text, "\n", -1), lambda line: F.xxhash64(line))
 
 
 def signatures_before(docs: DataFrame, before: DataFrame) -> DataFrame:

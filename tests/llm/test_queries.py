@@ -42,8 +42,12 @@ def test_pipeline_stages(spark):
             assert out.columns == docs.columns
         before, after = {r["doc_id"] for r in seen.select("doc_id").collect()}, {r["doc_id"] for r in out.select("doc_id").collect()}
         assert after and after <= before
+        if name == "quality rules":
+            # near copies by the texts before line dedup takes what they share from them
+            copies = {r["doc_id"] for r in neardup.find(out).filter("not keep").collect()}
         if name == "SimHash near-dedup":
-            assert neardup.find(out).count() == 0  # nothing is left to find
+            left = {r["doc_id"] for r in out.select("doc_id").collect()}
+            assert len(copies) > 5 and len(left & copies) <= 0.1 * len(copies)
         seen = out
     ids = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert ids == {r["doc_id"]: r["ids"] for r in seen.collect()}
@@ -60,3 +64,13 @@ def test_pipeline_stages_on_odd_input(spark):
             assert out.count() <= 2 * len(data)
             if "ids" not in out.columns:
                 assert out.columns == df.columns
+
+
+def test_stages_keep_values_of_clashing_columns(spark):
+    shared = "this line of eight plain words is shared"
+    rows = [(900_001, f"{shared}\nand this one is of the first document only", "en", "s", 80, 7, {"a": 1}), (900_002, f"{shared}\nwhile that one is found in the second alone", "en", "s", 80, 8, {"b": 2})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __host int, __rid map<string,int>")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        assert {(r["doc_id"], r["__host"], tuple(r["__rid"].items())) for r in out.collect()} == {(900_001, 7, (("a", 1),)), (900_002, 8, (("b", 2),))}, name
