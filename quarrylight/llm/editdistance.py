@@ -1,26 +1,27 @@
 """Exact bounded edit distances of many pairs at once.
 
-What begins and ends alike in a pair is left out; pairs whose characters differ in more places
-than allowed, whatever their order, are refused; for the others the dynamic programme runs over
-anti-diagonals of a band around the main diagonal, for all pairs of a block side by side, so
-every step is a few vector operations without any dependence inside it. Distances count
-characters, not bytes. Empty strings are allowed.
+Pairs whose characters differ in more places
+than allowed, whatever their order, are refused; for the others waves of one more edit each go out
+along the diagonals, for many pairs side by side, until one reaches both ends (``_waves``): the work
+follows the square of the distance, not the length. Texts of more than
+LONG characters are compared one pair at a time, after a screen of their common runs of characters.
+Distances count characters, not bytes. Empty strings are allowed.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-from .textkernel import string_buffers
+from .textkernel import popcount, string_buffers
 
-#: Above every distance that fits a band, and far enough from the end of 16 bits that adding
-#: one per step never wraps for texts of up to LONG characters; longer ones have cells of 32 bits.
-_FAR = 10_000
-_FAR_LONG = 1 << 30
-_CELLS = 1 << 16
+#: Cells of a block of waves.
+_WAVE = 1 << 18
+#: Words of 8 bytes that are compared at once where the first is alike.
+_AHEAD = 16
 LONG = 8000
 #: Characters of a block that are compared at once.
 _GRID = 1 << 20
@@ -63,56 +64,6 @@ class Texts:
         return np.where(inside, self.codes[np.where(inside, self.start + at, 0)] + np.uint32(2), np.uint32(fill))
 
 
-def _block(a: Texts, b: Texts, band: int) -> np.ndarray:
-    """Distances, exact where they are at most ``band``."""
-    k = band + band % 2
-    rows, cols, n = int(a.size.max()), int(b.size.max()), len(a.size)
-    # room for the band beyond both ends
-    left, right = a.grid(0, back=True), b.grid(1)
-    if max(left.max(initial=0), right.max(initial=0)) > 0xFFFF:
-        left, right = np.split(np.unique(np.concatenate([left, right]), return_inverse=True)[1].reshape(-1, n), [rows])
-    pad_a = np.zeros((rows + 2 * k + cols + 2, n), np.uint16)
-    pad_b = np.ones((cols + 2 * k + rows + 2, n), np.uint16)
-    pad_a[k + cols : k + cols + rows] = left
-    pad_b[k : k + cols] = right
-    cell, far = (np.uint16, _FAR) if max(rows, cols) <= LONG else (np.uint32, _FAR_LONG)
-    even = np.full((k + 1, n), far, cell)
-    even[k // 2] = 0
-    odd = np.full((k + 2, n), far, cell)  # with a border on either side
-    total = a.size + b.size
-    out = np.full(n, far, np.int64)
-    place = b.size - a.size + k
-    order = np.argsort(total, kind="stable")
-    at, last = 0, int(total.max())
-    miss_e, step_e = np.empty((k + 1, n), cell), np.empty((k + 1, n), cell)
-    miss_o, step_o = miss_e[:k], step_e[:k]
-    for s in range(last + 1):
-        if s and s % 2 == 0:
-            i, j = rows - (s + k) // 2 + k + cols, (s - k) // 2 - 1 + k
-            np.bitwise_xor(pad_a[i : i + k + 1], pad_b[j : j + k + 1], out=miss_e)
-            np.minimum(miss_e, 1, out=miss_e)
-            even += miss_e
-            np.minimum(odd[:-1], odd[1:], out=step_e)
-            step_e += cell(1)
-            np.minimum(even, step_e, out=even)
-        elif s:
-            i, j = rows - (s + k - 1) // 2 + k + cols, (s - k + 1) // 2 - 1 + k
-            np.bitwise_xor(pad_a[i : i + k], pad_b[j : j + k], out=miss_o)
-            np.minimum(miss_o, 1, out=miss_o)
-            inner = odd[1:-1]
-            inner += miss_o
-            np.minimum(even[:-1], even[1:], out=step_o)
-            step_o += cell(1)
-            np.minimum(inner, step_o, out=inner)
-            odd[0] = odd[-1] = far
-        while at < n and total[order[at]] == s:
-            p = order[at]
-            if 0 <= place[p] <= 2 * k:
-                out[p] = even[place[p] // 2, p] if s % 2 == 0 else odd[(place[p] - 1) // 2 + 1, p]
-            at += 1
-    return out
-
-
 def _grams(c: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``q`` characters and how often each occurs."""
     h = np.zeros(len(c) - q + 1, np.uint64)
@@ -123,7 +74,7 @@ def _grams(c: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _long_within(a: Texts, b: Texts, most: int) -> bool:
     """For one pair of long texts: pairs with too few common runs of characters are refused (an
-    edit breaks at most q runs of q), and the band widens until it holds the distance."""
+    edit breaks at most q runs of q), the others are compared by waves."""
     x, y = a.one(0).astype(np.uint64), b.one(0).astype(np.uint64)
     for q in (6, 8, 10):
         need = max(len(x), len(y)) - q + 1 - q * most
@@ -134,12 +85,7 @@ def _long_within(a: Texts, b: Texts, most: int) -> bool:
             _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
             if np.minimum(m[i], n[j]).sum() < need:
                 return False
-    band = min(64, most)
-    while True:
-        d = int(_block(a, b, band)[0])
-        if d <= band or band >= most:
-            return d <= most
-        band = min(most, 4 * band)
+    return bool(_waves(a, b, np.array([most]))[0])
 
 
 def _alike(a: Texts, b: Texts, back: bool) -> np.ndarray:
@@ -167,6 +113,91 @@ def _bags(t: Texts) -> np.ndarray:
     return np.bincount(row * 64 + (t.codes[at] & 63).astype(np.int64), minlength=64 * n).reshape(n, 64)
 
 
+def _words_at(t: Texts, numbers: np.ndarray, mark: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(8 bytes from every character on, start of each text among them); behind every text there is
+    one ``mark``."""
+    n, total = len(t.size), int(t.size.sum())
+    flat = np.full(total + n + 8 * (_AHEAD + 1), mark, kind)
+    at = np.cumsum(t.size + 1) - t.size - 1
+    place = np.repeat(at - (np.cumsum(t.size) - t.size), t.size) + np.arange(total)
+    flat[place] = numbers
+    w = flat.astype(np.uint64)
+    for k in range(int(math.log2(8 // flat.itemsize))):
+        w[: -(1 << k)] |= w[1 << k :] << np.uint64(8 * flat.itemsize << k)
+    return w, at
+
+
+def _flat(t: Texts) -> np.ndarray:
+    return t.codes[np.arange(int(t.size.sum())) + np.repeat(t.start - (np.cumsum(t.size) - t.size), t.size)]
+
+
+def _numbered(a: Texts, b: Texts) -> tuple[np.ndarray, np.ndarray, type]:
+    """The characters as numbers from 2, of one byte if there are few enough kinds."""
+    x, y = _flat(a), _flat(b)
+    top = int(max(x.max(initial=0), y.max(initial=0)))
+    if top < 254:
+        return x + 2, y + 2, np.uint8
+    there = np.zeros(top + 1, bool)
+    there[x] = there[y] = True
+    if there.sum() < 254:
+        number = np.cumsum(there) + 1
+        return number[x], number[y], np.uint8
+    return x + np.uint32(2), y + np.uint32(2), np.uint32
+
+
+def _waves(a: Texts, b: Texts, most: np.ndarray) -> np.ndarray:
+    """Whether each distance is at most ``most``; lengths differ by no more than that. ``far`` has, for
+    each pair and diagonal, how much of the left text the edits so far can match at most."""
+    n, k = len(most), int(most.max())
+    x, y, kind = _numbered(a, b)
+    (wa, at), (wb, bt) = _words_at(a, x, 0, kind), _words_at(b, y, 1, kind)
+    per, bits = 8 // np.dtype(kind).itemsize, 8 * np.dtype(kind).itemsize
+    ahead = np.arange(_AHEAD) * per
+    ok, who = np.zeros(n, bool), np.arange(n)
+    end, other, most = (v.astype(np.int32) for v in (a.size, b.size, most))
+    shift = other - end
+    slack = int(np.abs(shift).max())
+    none = -(1 << 30)
+    far = np.full((n, 2 * k + 3), none, np.int32)
+    for e in range(k + 1):
+        w = min(e, k - e + slack)
+        lo, hi = k + 1 - w, k + 2 + w
+        d = np.arange(-w, w + 1, dtype=np.int32)
+        if e:
+            new = np.maximum(far[:, lo:hi], far[:, lo + 1 : hi + 1])
+            new += 1
+            np.maximum(new, far[:, lo - 1 : hi - 1], out=new)
+            np.minimum(new, np.minimum(end[:, None], other[:, None] - d), out=new)
+        else:
+            new = np.zeros((len(who), 2 * w + 1), np.int32)
+        # a diagonal from which the last one can no longer be reached is left out
+        new[(new < np.maximum(0, -d)) | (np.abs(shift[:, None] - d) > (most - e)[:, None])] = none
+        row, col = np.nonzero(new >= 0)
+        i = new[row, col].astype(np.int64)
+        p, q = at[row] + i, bt[row] + i + d[col]
+        differ = wa[p] ^ wb[q]
+        i = i + popcount((differ & (~differ + np.uint64(1))) - np.uint64(1)) // bits
+        go = np.flatnonzero(differ == 0)
+        while len(go):  # these go on for many characters
+            p, q = at[row[go]] + i[go], bt[row[go]] + i[go] + d[col[go]]
+            differ = wa[p[:, None] + ahead] ^ wb[q[:, None] + ahead]
+            first = (differ != 0).argmax(axis=1)
+            differ = differ[np.arange(len(go)), first]
+            on = differ == 0
+            i[go] += np.where(on, len(ahead) * per, first * per + popcount((differ & (~differ + np.uint64(1))) - np.uint64(1)) // bits)
+            go = go[on]
+        new[row, col] = i
+        far[:, lo:hi] = new
+        there = far[np.arange(len(who)), shift + k + 1] >= end
+        ok[who[there]] = True
+        stay = ~there & (most > e)
+        if not stay.all():
+            who, far, at, bt, end, other, shift, most = (v[stay] for v in (who, far, at, bt, end, other, shift, most))
+            if not len(who):
+                break
+    return ok
+
+
 def within_texts(a: Texts, b: Texts, most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most ``most``; texts of any length."""
     n = len(most)
@@ -183,37 +214,33 @@ def within_texts(a: Texts, b: Texts, most: np.ndarray) -> np.ndarray:
         while j > i + 1 and (j - i) * longer[j - 1] > _GRID:
             j -= max(1, (j - i) // 4)
         part = todo[i:j]
-        x, y = _trim(a.take(part), b.take(part))
-        rest, room = np.maximum(x.size, y.size), most[part]
+        x, y, room = a.take(part), b.take(part), most[part]
         plain = np.minimum(x.size, y.size) == 0
-        ok[part[plain]] = rest[plain] <= room[plain]
-        open_ = np.flatnonzero(~plain & (room > 0))
+        ok[part[plain]] = longer[i:j][plain] <= room[plain]
+        open_ = np.flatnonzero(~plain)
         if len(open_):
-            x, y = x.take(open_), y.take(open_)
-            gap = _bags(x) - _bags(y)
+            gap = _bags(x.take(open_)) - _bags(y.take(open_))
             far = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1))
-            near = np.flatnonzero(far <= room[open_])
-            if len(near):
-                left.append((part[open_[near]], x.take(near), y.take(near)))
+            left.append(part[open_[far <= room[open_]]])
         i = j
     if not left:
         return ok
-    rows = np.concatenate([p for p, _, _ in left])
-    x, y = (Texts(left[0][k].codes, np.concatenate([t[k].start for t in left]), np.concatenate([t[k].size for t in left])) for k in (1, 2))
-    room, longer = most[rows], np.maximum(x.size, y.size)
-    room = np.minimum(room, longer)
-    for p in np.flatnonzero(longer > LONG):
-        ok[rows[p]] = _long_within(x.take([p]), y.take([p]), int(room[p]))
-    todo = np.flatnonzero(longer <= LONG)
-    todo = todo[np.lexsort((longer[todo], room[todo]))]
+    rows = np.concatenate(left)
+    longer = np.maximum(a.size, b.size)[rows]
+    for p in rows[longer > LONG]:
+        x, y = _trim(a.take([p]), b.take([p]))
+        ok[p] = max(x.size[0], y.size[0]) <= most[p] or (min(x.size[0], y.size[0]) > 0 and _long_within(x, y, int(min(most[p], max(x.size[0], y.size[0])))))
+    rows, longer = rows[longer <= LONG], longer[longer <= LONG]
+    room = np.minimum(most[rows], longer)
+    order = np.lexsort((longer, room))
+    rows, room = rows[order], room[order]
     i = 0
-    while i < len(todo):
-        j = i + 1
-        while j < len(todo) and (j - i) * (room[todo[j]] + 1) < _CELLS and room[todo[j]] <= 1.25 * room[todo[i]] + 1 and longer[todo[j]] <= 1.5 * longer[todo[i]] + 16 and j - i < 4096:
-            j += 1
-        part = todo[i:j]
-        d = _block(x.take(part), y.take(part), int(room[part].max()))
-        ok[rows[part]] = d <= room[part]
+    while i < len(rows):
+        # as many pairs as their waves have room for
+        j = int(np.searchsorted(room, 2 * room[i] + 8, side="right"))
+        j = min(j, i + max(1, _WAVE // (2 * int(room[j - 1]) + 3)))
+        part = rows[i:j]
+        ok[part] = _waves(a.take(part), b.take(part), room[i:j])
         i = j
     return ok
 

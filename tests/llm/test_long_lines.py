@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 from quarrylight.llm import linededup
@@ -32,3 +33,15 @@ def test_long_distances_are_exact():
             b[p] = "z"  # occurs nowhere else: the distance is the number of edits
         assert within([a, a], ["".join(b)] * 2, np.array([edits, edits - 1])).tolist() == [True, False] if edits else within([a], [a], np.array([0]))[0]
     assert within([a, a], [a[5:], "x" + a], np.array([5, 1])).all() and not within([a], [a[::-1]], np.array([960]))[0]
+
+
+def test_few_edits_of_a_long_text_cost_little():
+    """The work follows the number of edits, not the length times the room for edits."""
+    r = random.Random(7)
+    a = "".join(r.choice("abcdefgh ") for _ in range(400_000))
+    b = list(a)
+    for p in range(0, 400_000, 20_000):
+        b[p] = "z"
+    began = time.process_time()
+    assert within([a] * 2, ["".join(b)] * 2, np.array([32_000, 19])).tolist() == [True, False]
+    assert time.process_time() - began < 8
