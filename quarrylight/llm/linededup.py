@@ -45,7 +45,7 @@ from pyspark.sql.window import Window
 from .common import cut, discard, row_id, row_order, sized
 from .components import components
 from .editdistance import Texts, within_texts
-from .textkernel import bigrams, chunks, fold, popcount, sequence_hashes, simhash, span_hashes, spans
+from .textkernel import CHUNK, bigrams, chunks, fold, lean, popcount, sequence_hashes, simhash, span_hashes, spans
 
 BITS = 128
 TOUCHED = 16
@@ -88,7 +88,7 @@ def _words(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _signer(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, bounds in chunks(batch, "__text", 1 << 20):
+            for part, buf, bounds in chunks(batch, "__text", CHUNK):
                 first, ls, le = _lines(buf, bounds)
                 b = fold(buf)
                 s, e = _words(b, bounds)
@@ -153,7 +153,7 @@ def signed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     each row of ``docs`` has an entry with __line = -1, whose ``words`` are its compared lines."""
     d = _rows(docs)
     kind = d.schema["__id"].dataType.simpleString()
-    return d.mapInArrow(_signer(min_words), f"__id {kind}, __rid long, __line int, h1 long, h2 long, s1 long, s2 long, s3 long, s4 long, size int, words int")
+    return d.mapInArrow(lean(_signer(min_words)), f"__id {kind}, __rid long, __line int, h1 long, h2 long, s1 long, s2 long, s3 long, s4 long, size int, words int")
 
 
 def apart(words: float) -> float:
@@ -313,17 +313,17 @@ def candidate_pairs(nodes: DataFrame, n_nodes: int, similarity: float = SIMILARI
     bits, blocks = key_plan(n_nodes)
     return (
         nodes.select("size", "words", "h1", "s1", "s2", "s3", "s4")
-        .mapInArrow(_spread(bits, blocks), "k long, h1 long, s1 long, s2 long, s3 long, s4 long")
+        .mapInArrow(lean(_spread(bits, blocks)), "k long, h1 long, s1 long, s2 long, s3 long, s4 long")
         .repartition(F.shiftright("k", _LOW))
         .sortWithinPartitions("k")
-        .mapInArrow(_candidates(bits, blocks, similarity), "a long, b long, apart int")
+        .mapInArrow(lean(_candidates(bits, blocks, similarity)), "a long, b long, apart int")
     )
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Normalised texts of the wanted lines of each document."""
     for batch in batches:
-        for part, buf, bounds in chunks(batch, "__text"):
+        for part, buf, bounds in chunks(batch, "__text", CHUNK):
             first, ls, le = _lines(buf, bounds)
             b = fold(buf)
             s, e = _words(b, bounds)
@@ -362,7 +362,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     x = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b"
     )
-    return x.select("a", "b", "la", "lb").mapInArrow(_verify(round((1 - similarity) * 1000)), "a long, b long")
+    return x.select("a", "b", "la", "lb").mapInArrow(lean(_verify(round((1 - similarity) * 1000))), "a long, b long")
 
 
 def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -376,7 +376,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARIT
     pairs = cut(candidate_pairs(nodes, nodes.count(), similarity))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     want = cut(nodes.select("h1", "__rid", "__line").join(wanted, "h1").groupBy("__rid").agg(F.collect_list(F.struct("__line", "h1")).alias("__want")))
-    found = _rows(docs).join(sized(want), "__rid").select("__text", "__want").mapInArrow(_fetch, "h long, line string")
+    found = _rows(docs).join(sized(want), "__rid").select("__text", "__want").mapInArrow(lean(_fetch), "h long, line string")
     texts = cut(found.groupBy("h").agg(F.first("line").alias("line")))
     first = cut(_similar(pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a")), texts, similarity))
     near = cut(components(first))

@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, discard, row_id, row_order, sized
 from .components import components
-from .textkernel import bigrams, chunks, fold, popcount, simhash, span_hashes, spans
+from .textkernel import CHUNK, bigrams, chunks, fold, lean, popcount, simhash, span_hashes, spans
 
 BITS = 256
 RADIUS = 56
@@ -45,7 +45,7 @@ CAP = 256
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, buf, bounds in chunks(batch, "__text"):
+        for part, buf, bounds in chunks(batch, "__text", CHUNK):
             b = fold(buf)
             s, e = spans(b != 32, bounds)
             feat, fb = bigrams(span_hashes(b, s, e), np.searchsorted(s, bounds))
@@ -61,7 +61,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """(__id, __rid, __sig) of the rows that have a signature."""
     d = docs.select(F.col(id_col).alias("__id"), row_id(F.col(id_col), F.col(text)).alias("__rid"), F.col(text).alias("__text"))
     kind = d.schema["__id"].dataType.simpleString()
-    return d.mapInArrow(_sign, f"__id {kind}, __rid long, __sig binary")
+    return d.mapInArrow(lean(_sign), f"__id {kind}, __rid long, __sig binary")
 
 
 def table_plan(nodes: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
@@ -167,12 +167,12 @@ def _pairs(bits: int, radius: int, cap: int):
 def near_pairs(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, cap: int = CAP, tables: int | None = None) -> DataFrame:
     """Distinct (a, b) signatures within ``radius`` found by the tables, from nodes(__sig)."""
     bits, planned = table_plan(n_nodes, radius)
-    spread = nodes.mapInArrow(_spread(tables or planned), "t int, key long, sig binary")
+    spread = nodes.mapInArrow(lean(_spread(tables or planned)), "t int, key long, sig binary")
     bucket = F.shiftrightunsigned("key", 64 - bits)
     return (
         spread.repartition("t", bucket)
         .sortWithinPartitions("t", bucket, "key")
-        .mapInArrow(_pairs(bits, radius, cap), "a binary, b binary")
+        .mapInArrow(lean(_pairs(bits, radius, cap)), "a binary, b binary")
         .distinct()
     )
 

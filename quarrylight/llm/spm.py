@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import chunks, span_hashes, string_buffers
+from .textkernel import chunks, lean, span_hashes, string_buffers
 
 MODEL = os.environ.get("QUARRYLIGHT_SP_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 _SPACE = "\u2581"
@@ -439,7 +439,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
     names = [f"__k{i}" for i in range(len(keep))]
     d = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("__text"))
     kinds = ", ".join(f"{n} {d.schema[n].dataType.simpleString()}" for n in names)
-    out = d.mapInArrow(_encode(shared, names), f"{kinds}, ids array<int>, n_tokens long, exact boolean")
+    out = d.mapInArrow(lean(_encode(shared, names)), f"{kinds}, ids array<int>, n_tokens long, exact boolean")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "ids", "n_tokens", "exact")
 
 

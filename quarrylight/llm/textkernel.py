@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,30 @@ _INV = pow(_MULT, -1, 1 << 64)
 _LANES = np.uint64(0x0101010101010101)
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 _pow = _inv = np.ones(1, dtype=np.uint64)
+#: Bytes of text at once where a pass makes many arrays of eight bytes for each of them.
+CHUNK = 1 << 18
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow; at its end what it has freed goes back to the system. Workers are used
+    again, and several wait in an executor: else each keeps the most that it ever had."""
+
+    def lean_run(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return lean_run
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
