@@ -3,8 +3,8 @@
 A document's signature has 256 sign bits over its word pairs. Documents with equal
 signatures are one node. Random bit-sampling hashing finds candidates among the nodes: each
 of several tables groups them by sampled coordinates. Buckets are never split, so that their
-pairs keep the planned recall: up to ``cap`` rows all pairs are compared, above it a row's near
-ones are linked to it and only the others go on, which connects the same nodes.
+pairs keep the planned recall: all pairs are compared, save those that links already connect. Up to
+``cap`` rows all near pairs are links, above it, where they are many, as few as connect the same nodes.
 Candidates within ``radius`` bits are linked, and connected nodes form a group.
 
 The number of base bits follows the number of nodes, and the number of tables follows from
@@ -41,6 +41,8 @@ RADIUS = 56
 RECALL = 0.95
 OCCUPANCY_BITS = 9
 CAP = 256
+#: Buckets of up to so many rows are compared many at once; and pairs that are compared at once in others.
+_FEW, _CELLS = 24, 1 << 17
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,39 +103,92 @@ def _buckets(t: np.ndarray, top: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], new, [len(t)]])
 
 
+def _near(w: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x, in y) of the rows within ``radius``: all are compared. Rows that differ too much
+    in all words but the last need no look at that one."""
+    far = popcount(w[0][x][:, None] ^ w[0][y])
+    for word in w[1:-1]:
+        far += popcount(word[x][:, None] ^ word[y])
+    at = np.flatnonzero(far.reshape(-1) <= radius)
+    i, j = np.divmod(at, len(y))
+    near = far.reshape(-1)[at] + popcount(w[-1][x[i]] ^ w[-1][y[j]]) <= radius
+    return i[near], j[near]
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least row of each component) after these links."""
+    while True:
+        lo, hi = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if not (lo != hi).any():
+            return label
+        np.minimum.at(label, hi, lo)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of these links some that connect what the labels don't connect yet; the labels then."""
+    left, right = [a[:0]], [b[:0]]
+    while (apart := label[a] != label[b]).any():
+        a, b = a[apart], b[apart]
+        other, first = np.unique(b, return_index=True)
+        left.append(a[first])
+        right.append(other)
+        label = _merge(label, a[first], other)
+    return label, np.concatenate(left), np.concatenate(right)
+
+
+def _bucket_links(w: np.ndarray, radius: int, thin: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of the rows of one bucket, all compared by blocks of rows; with ``thin``, where they are
+    many, only such as connect what is not connected yet."""
+    out = []
+    todo, label = np.arange(w.shape[1]), None
+    while len(todo) > 1:
+        many = min(64, max(1, _CELLS // len(todo)))
+        x, y, rest = todo[:many], todo, todo[many:]
+        if label is not None:
+            same = label[todo] == label[todo[0]]
+            if np.count_nonzero(same) > many:  # rows of one component need not meet each other
+                x, y = todo[same][:many], todo[~same]
+                rest = todo[~same | (np.cumsum(same) > many)]
+        i, j = _near(w, x, y, radius)
+        a, b = x[i], y[j]
+        if y is todo:  # rows of a block meet each other once
+            once = j > i
+            a, b = a[once], b[once]
+        if thin and len(a) > 4 * many:
+            label, a, b = _forest(np.arange(w.shape[1]) if label is None else label, a, b)
+        if len(a):
+            out.append((a, b))
+        todo = rest
+    return out
+
+
 def _links(at: np.ndarray, sig: np.ndarray, radius: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers within ``radius`` in the same bucket."""
+    """Pairs of row numbers within ``radius`` in the same bucket: all of them up to ``cap`` rows, above
+    it at least as many as connect the same rows."""
     size = np.diff(at)
-    left, right = [], []
-    small = np.repeat((size > 1) & (size <= cap), size)
+    w = np.ascontiguousarray(sig.T)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    few = (size > 1) & (size <= min(cap, _FEW))
     ends = np.repeat(at[1:], size)
-    rows = np.flatnonzero(small)
+    rows = np.flatnonzero(np.repeat(few, size))
     step = 1
-    while len(rows):
+    while len(rows):  # many small buckets at once
         rows = rows[rows + step < ends[rows]]
-        near = popcount(sig[rows] ^ sig[rows + step]).sum(axis=1) <= radius
-        left.append(rows[near])
-        right.append(rows[near] + step)
+        far = sum(popcount(word[rows] ^ word[rows + step]).astype(np.int16) for word in w)
+        left.append(rows[far <= radius])
+        right.append(left[-1] + step)
         step += 1
-    for b in np.flatnonzero(size > cap):  # link each row to the first near one of its bucket, all compared
-        todo = np.arange(at[b], at[b + 1])
-        while len(todo) > 1:
-            near = popcount(sig[todo] ^ sig[todo[0]]).sum(axis=1) <= radius
-            left.append(np.full(int(near.sum()) - 1, todo[0]))
-            right.append(todo[near][1:])
-            # rows near this one still have to meet the rows that are not
-            rest, met = todo[~near], todo[near][1:]
-            many = max(1, min(256, (1 << 20) // max(1, len(rest))))
-            for i in range(0, len(met), many):
-                hit = (popcount(sig[rest][None] ^ sig[met[i : i + many]][:, None]).sum(axis=2) <= radius) if len(rest) else np.zeros((0, 0), bool)
-                if hit.size:
-                    x, y = np.nonzero(hit)
-                    y, first = np.unique(y, return_index=True)
-                    left.append(met[i : i + many][x[first]])
-                    right.append(rest[y])
-            todo = rest
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    for large in (False, True):
+        some = [[x + at[k] for x in ab] for k in np.flatnonzero((size > 1) & ~few & ((size > cap) == large)) for ab in _bucket_links(w[:, at[k] : at[k + 1]], radius, large)]
+        if some:
+            a, b = (np.concatenate(x) for x in zip(*some, strict=True))
+            if large:
+                _, a, b = _forest(np.arange(len(sig)), a, b)
+            left.append(a)
+            right.append(b)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _pairs(bits: int, radius: int, cap: int):
