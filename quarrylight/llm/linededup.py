@@ -18,9 +18,10 @@ words the edit similarity of 0.92 allows more scattered edits than that, up to a
 letters in as many words; such a pair is found with less probability by itself, and mostly by way
 of others of its group.
 
-Verification goes in two rounds, so that a group of thousands of variants does not cost the
-square of its size: first one candidate for each line, then every candidate pair whose ends
-are still in different groups. The groups are the same as if all pairs were verified.
+Verification goes in three rounds, so that a group of thousands of variants does not cost the
+square of its size: first one candidate for each line, then one for each two groups between which there
+are candidates, then every other candidate pair whose ends are still in different groups. The groups
+are the same as if all pairs were verified.
 
 Defined cases: lines of fewer than ``min_words`` words (blank ones too) are not compared and
 stay; where a script has no spaces, runs of a few characters count as words; a document is dropped
@@ -60,6 +61,8 @@ MIN_WORDS = 4
 _SUFFIX = np.uint64(0xD6E8FEB86659FD93)
 _SIZES, _WORDS = 20, 4  # bits of a length and of a number of words in a sort key
 _LOW = _SIZES + _WORDS
+#: Pairs of lines that are compared at once.
+_CELLS = 1 << 16
 
 
 def _lines(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,11 +112,10 @@ def _signer(min_words: int):
                 idx = np.arange(wb[-1]) + np.repeat(w0[take] - wb[:-1], n)
                 ws, we = s[idx], e[idx]
                 mid = ws + (we - ws + 1) // 2
+                head, tail, hw = span_hashes(b, np.concatenate([ws, mid, ws]), np.concatenate([mid, we, we])).reshape(3, -1)
                 halves = np.empty(2 * len(idx), np.uint64)
-                halves[::2] = span_hashes(b, ws, mid)
-                halves[1::2] = span_hashes(b, mid, we) ^ _SUFFIX
+                halves[::2], halves[1::2] = head, tail ^ _SUFFIX
                 sig = simhash(halves, 2 * wb, BITS // 64).view(np.int64)
-                hw = span_hashes(b, ws, we)
                 pair = simhash(*bigrams(hw, wb), PAIR_BITS // 64).view(np.int64)
                 gap = np.ones(len(idx), np.int64)
                 gap[1:] = ws[1:] != we[:-1]
@@ -246,7 +248,6 @@ def _candidates(bits: int, blocks: list[int], similarity: float):
     places = block_places(bits, max(blocks))
     masks, wide = _masks(places), np.uint64(bits)
     sizes, (first, second) = np.uint64((1 << _SIZES) - 1), screens()
-    widest = int(first.max())
 
     def emit(k, h1, s1, s2, s3, s4):
         u = k.view(np.uint64)
@@ -263,27 +264,53 @@ def _candidates(bits: int, blocks: list[int], similarity: float):
         # last row of the bucket that is short enough: sizes ascend within buckets
         order = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at)) << 42
         upto = np.minimum(upto, np.searchsorted(order + size, order + np.minimum(most, (1 << 41)), side="right"))
-        rows, step = np.flatnonzero(upto - np.arange(n) > 1), 1
-        while len(rows):
-            rows = rows[rows + step < upto[rows]]
-            other = rows + step
-            d1, d2 = s1[rows] ^ s1[other], s2[rows] ^ s2[other]
-            far = popcount(d1) + popcount(d2)
-            near = np.flatnonzero(far <= widest)
-            if len(near):
-                fewer = np.minimum(words[rows[near]], words[other[near]])
-                pair = popcount(s3[rows[near]] ^ s3[other[near]]) + popcount(s4[rows[near]] ^ s4[other[near]])
-                near = near[(far[near] <= first[fewer]) & (pair <= second[fewer])]
-            if len(near):
-                a, b, d1, d2, far = rows[near], other[near], d1[near], d2[near], far[near]
-                # a pair that shares several blocks is reported under the first of them
-                t = bucket[a] >> wide
-                keep = np.ones(len(a), bool)
-                for i in range(int(t.max())):
-                    keep &= ~((t > i) & (((d1 & masks[i][0]) | (d2 & masks[i][1])) == 0))
-                a, b, far = a[keep], b[keep], far[keep]
-                yield pa.record_batch([pa.array(np.minimum(h1[a], h1[b])), pa.array(np.maximum(h1[a], h1[b])), pa.array(far.astype(np.int32))], names=["a", "b", "apart"])
-            step += 1
+        one, two = first[words].astype(np.uint8), second[words].astype(np.uint8)  # fewer words allow more
+
+        def near(a, b):
+            fewer = np.minimum(words[a], words[b])
+            far = popcount(s1[a] ^ s1[b]) + popcount(s2[a] ^ s2[b])
+            some = (far <= first[fewer]) & (popcount(s3[a] ^ s3[b]) + popcount(s4[a] ^ s4[b]) <= second[fewer])
+            a, b, far = a[some], b[some], far[some]
+            if not len(a):
+                return
+            # a pair that shares several blocks is reported under the first of them
+            d1, d2 = s1[a] ^ s1[b], s2[a] ^ s2[b]
+            t = bucket[a] >> wide
+            keep = np.ones(len(a), bool)
+            for i in range(int(t.max())):
+                keep &= ~((t > i) & (((d1 & masks[i][0]) | (d2 & masks[i][1])) == 0))
+            a, b, far = a[keep], b[keep], far[keep]
+            yield pa.record_batch([pa.array(np.minimum(h1[a], h1[b])), pa.array(np.maximum(h1[a], h1[b])), pa.array(far.astype(np.int32))], names=["a", "b", "apart"])
+
+        # rows meet the rows behind them in blocks, of which what lies beyond a row's last partner is taken out
+        found, many, i = [], 0, 0
+        while i < n:
+            if upto[i] - i < 2:  # on to the next row that has a partner
+                more = upto[i : i + 4096] - np.arange(i, min(n, i + 4096)) > 1
+                i += int(more.argmax()) if more.any() else len(more)
+                continue
+            end = min(n, i + int(min(64, max(16, upto[i] - i))))
+            last = int(upto[end - 1])
+            for c in range(i + 1, last, _CELLS // 64):
+                d = min(last, c + _CELLS // 64)
+                pairs = max(two[i:end].max(), two[c:d].max())
+                # word pairs tell lines of one vocabulary apart, if there are enough of them
+                u, v, most_far = (s3, s4, pairs) if pairs < PAIR_BITS else (s1, s2, max(one[i:end].max(), one[c:d].max()))
+                far = popcount(u[i:end, None] ^ u[c:d])
+                far += popcount(v[i:end, None] ^ v[c:d])
+                hit = np.flatnonzero(far.reshape(-1) <= most_far)
+                if len(hit):
+                    x, y = np.divmod(hit, d - c)
+                    x, y = x + i, y + c
+                    own = (y > x) & (y < upto[x])
+                    found.append((x[own], y[own]))
+                    many += len(found[-1][0])
+                if many > 1 << 16:
+                    yield from near(*[np.concatenate(v) for v in zip(*found, strict=True)])
+                    found, many = [], 0
+            i = end
+        if found:
+            yield from near(*[np.concatenate(v) for v in zip(*found, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
@@ -352,17 +379,17 @@ def _verify(allowed: int):
             la, lb = (Texts.of(batch.column(c)) for c in ("la", "lb"))
             # exact in integers: distance * 1000 <= longer length * allowed thousandths
             ok = within_texts(la, lb, np.maximum(la.size, lb.size) * allowed // 1000)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield batch.drop_columns(["la", "lb"]).filter(pa.array(ok))
 
     return run
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose lines have at least the edit similarity."""
+    """The pairs (a, b and other numbers) whose lines have at least the edit similarity."""
     x = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b"
     )
-    return x.select("a", "b", "la", "lb").mapInArrow(lean(_verify(round((1 - similarity) * 1000))), "a long, b long")
+    return x.select(*pairs.columns, "la", "lb").mapInArrow(lean(_verify(round((1 - similarity) * 1000))), ", ".join(f"{c} long" for c in pairs.columns))
 
 
 def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -378,21 +405,36 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARIT
     want = cut(nodes.select("h1", "__rid", "__line").join(wanted, "h1").groupBy("__rid").agg(F.collect_list(F.struct("__line", "h1")).alias("__want")))
     found = _rows(docs).join(sized(want), "__rid").select("__text", "__want").mapInArrow(lean(_fetch), "h long, line string")
     texts = cut(found.groupBy("h").agg(F.first("line").alias("line")))
-    first = cut(_similar(pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a")), texts, similarity))
+    one = cut(pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a")))
+    first = cut(_similar(one, texts, similarity))
     near = cut(components(first))
-    rest = (
+    rest = cut(
         pairs.join(near.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
         .join(near.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        .join(one.select("b", F.col("a").alias("tried")), "b")
+        .select("a", "b", "apart", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"), "tried")
+        .filter("ra <> rb and a <> tried")
+        .drop("tried")
+    )
+    between = rest.groupBy(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).agg(F.min_by(F.struct("a", "b", "ra", "rb"), "apart").alias("p"))
+    second = cut(between.select("p.*"))
+    linked = cut(_similar(second, texts, similarity))
+    joined = cut(components(linked.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    known = sized(joined)
+    last = (
+        rest.join(known.select(F.col("node").alias("ra"), F.col("root").alias("sa")), "ra", "left")
+        .join(known.select(F.col("node").alias("rb"), F.col("root").alias("sb")), "rb", "left")
+        .filter(F.coalesce("sa", "ra") != F.coalesce("sb", "rb"))
+        .join(second.select("a", "b"), ["a", "b"], "left_anti")
         .select("a", "b")
     )
     # of what is known, stars are enough
-    edges = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(rest, texts, similarity))
-    roots = cut(components(edges))
+    stars = near.filter("node <> root").unionByName(joined.filter("node <> root")).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = cut(components(stars.unionByName(_similar(last, texts, similarity))))
     out = cut(
         nodes.join(roots, nodes["h1"] == roots["node"], "left").filter("root is not null or n > 1").select("h1", "h2", F.coalesce("root", "h1").alias("__group"))
     )
-    discard(nodes, pairs, want, texts, first, near, roots)
+    discard(nodes, pairs, want, texts, one, first, near, rest, second, linked, joined, roots)
     return out
 
 

@@ -177,6 +177,7 @@ def simhash(feat: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
     within = np.arange(first[-1]) - np.repeat(first[:-1], nb)
     starts = np.repeat(bounds[:-1], nb) + 255 * within
     split = bool((nb > 1).any())
+    half = (n // 2)[:, None] if split else (n // 2).astype(np.uint8)[:, None]
     for k in range(words):
         x = mix(feat ^ _SEEDS[k])
         for j in range(8):
@@ -184,8 +185,7 @@ def simhash(feat: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
             votes = lane.view(np.uint8).reshape(-1, 8)
             if split:
                 votes = np.add.reduceat(votes.astype(np.int64), first[:-1], axis=0)
-            bit = votes.astype(np.int64) * 2 > n[:, None]
-            packed = np.packbits(bit, axis=1, bitorder="little").reshape(-1)
+            packed = np.packbits(votes > half, axis=1, bitorder="little").reshape(-1)
             # byte lane l, bit j of the hash -> bit j * 8 + l of the signature
             out[:, k] |= packed.astype(np.uint64) << np.uint64(8 * j)
     return out
