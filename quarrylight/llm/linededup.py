@@ -46,7 +46,7 @@ from pyspark.sql.window import Window
 from .common import cut, discard, row_id, row_order, sized
 from .components import components
 from .editdistance import Texts, within_texts
-from .textkernel import CHUNK, bigrams, chunks, fold, lean, popcount, sequence_hashes, simhash, span_hashes, spans
+from .textkernel import CHUNK, bigrams, chunks, fold, lean, mix, popcount, sequence_hashes, simhash, span_hashes, spans, string_buffers
 
 BITS = 128
 TOUCHED = 16
@@ -61,8 +61,11 @@ MIN_WORDS = 4
 _SUFFIX = np.uint64(0xD6E8FEB86659FD93)
 _SIZES, _WORDS = 20, 4  # bits of a length and of a number of words in a sort key
 _LOW = _SIZES + _WORDS
+HASHES = ("h1", "h2", "s1", "s2", "s3", "s4")
 #: Pairs of lines that are compared at once.
 _CELLS = 1 << 16
+#: Lines of a block that are shuffled as one group, on average; rows that a worker holds for spreading and sorting.
+GROUP, _HELD = 1 << 15, 1 << 17
 
 
 def _lines(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,33 +208,93 @@ def block_places(bits: int, blocks: int) -> list[np.ndarray]:
     return out[:blocks]
 
 
-def _spread(bits: int, blocks: list[int]):
-    places = block_places(bits, max(blocks))
-    shift, wide = np.uint64(_LOW), np.uint64(bits)
+def _records(bits: int) -> np.dtype:
+    """A line in a block, as it is shuffled: value and size as one number, little end first, hash and signatures."""
+    return np.dtype([("k", "u1", ((bits + _LOW + 7) // 8,)), *((c, "<u8") for c in ("h1", "s1", "s2", "s3", "s4"))])
+
+
+def group_count(nodes: int) -> int:
+    """Into how many groups the values of each block are put, so that one has about GROUP lines."""
+    return max(1, nodes // GROUP)
+
+
+def _spread(bits: int, blocks: list[int], groups: int):
+    """(g, lines) lines of each block by groups of values, _records one after another."""
+    places, kind = block_places(bits, max(blocks)), _records(bits)
+    wide, per = kind["k"].shape[0], np.array(blocks)
+
+    def spread(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        s, size, words = [c.view(np.uint64) for c in cols[1:3]], cols[5], cols[6]
+        own = per[np.minimum(words, len(per) - 1)]
+        low = np.minimum(size.astype(np.uint64), np.uint64((1 << _SIZES) - 1)) << np.uint64(_WORDS)
+        low |= np.minimum(words, (1 << _WORDS) - 1).astype(np.uint64)
+        for t in range(int(own.max(initial=0))):
+            value = np.zeros(len(own), np.uint64)
+            for i, p in enumerate(places[t].tolist()):
+                value |= ((s[p // 64] >> np.uint64(p % 64)) & np.uint64(1)) << np.uint64(i)
+            group = (mix(value) % np.uint64(groups)).astype(np.uint16 if groups <= 1 << 16 else np.uint64)
+            at = np.flatnonzero(own > t)
+            at = at[np.argsort(group[at], kind="stable")]
+            out = np.empty(len(at), kind)
+            out["k"] = ((value << np.uint64(_LOW)) | low)[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]
+            for name, c in zip(("h1", "s1", "s2", "s3", "s4"), cols, strict=False):
+                out[name] = c.view(np.uint64)[at]
+            group = group[at].astype(np.int64)
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = (np.append(first, len(at)) * kind.itemsize).astype(np.int32)
+            lines = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+            yield pa.record_batch([pa.array(t * groups + group[first]), lines], names=["g", "lines"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per = np.array(blocks)
+        held: list[list] = []
+        rows = 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 8192):
-                part = batch.slice(i, 8192)
-                s1, s2 = (part.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
-                words = part.column("words").to_numpy()
-                own = per[np.minimum(words, len(per) - 1)]
-                size = np.minimum(part.column("size").to_numpy().astype(np.uint64), np.uint64((1 << _SIZES) - 1))
-                low = (size << np.uint64(_WORDS)) | np.minimum(words, (1 << _WORDS) - 1).astype(np.uint64)
-                bit = np.unpackbits(np.stack([s1, s2], axis=1).view(np.uint8), axis=1, bitorder="little")
-                rows = [np.flatnonzero(own > t) for t in range(int(own.max(initial=0)))]
-                keys = []
-                for t, r in enumerate(rows):
-                    packed = np.packbits(bit[r[:, None], places[t]] if len(r) < len(s1) else bit[:, places[t]], axis=1)
-                    eight = np.zeros((len(r), 8), np.uint8)
-                    eight[:, 8 - packed.shape[1] :] = packed
-                    value = eight.view(">u8").reshape(-1).astype(np.uint64) >> np.uint64(8 * packed.shape[1] - bits)
-                    keys.append((((np.uint64(t) << wide) | value) << shift) | low[r])
-                at = pa.array(np.concatenate(rows))
-                yield pa.record_batch(
-                    [pa.array(np.concatenate(keys).view(np.int64)), *[part.column(c).take(at) for c in ("h1", "s1", "s2", "s3", "s4")]], names=["k", "h1", "s1", "s2", "s3", "s4"]
-                )
+            held.append([batch.column(c).to_numpy() for c in ("h1", "s1", "s2", "s3", "s4", "size", "words")])
+            rows += batch.num_rows
+            if rows >= _HELD:
+                yield from spread([np.concatenate(x) for x in zip(*held, strict=True)])
+                held, rows = [], 0
+        if rows:
+            yield from spread([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
+
+
+def _sorted(bits: int, groups: int):
+    """(k, h1, s1, s2, s3, s4) rows sorted by k, of whole groups; they come by groups. ``k`` is block, value,
+    size and words."""
+    kind = _records(bits)
+    wide, shift = kind["k"].shape[0], np.uint64(bits + _LOW)
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        block, lines = (np.concatenate(x) for x in zip(*held, strict=True))
+        k = np.zeros((len(lines), 8), np.uint8)
+        k[:, :wide] = lines["k"]
+        k = k.view("<u8").reshape(-1) | (block << shift)
+        order = np.argsort(k)
+        return pa.record_batch([pa.array(k[order].view(np.int64)), *[pa.array(lines[c][order].view(np.int64)) for c in kind.names[1:]]], names=["k", *kind.names[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        many, last = 0, -1
+        for batch in batches:
+            g = batch.column("g").to_numpy()
+            buf, bounds = string_buffers(batch.column("lines").cast(pa.large_binary()).view(pa.large_string()))
+            lines = buf.view(kind)
+            at = bounds // kind.itemsize
+            block = np.repeat((g // groups).astype(np.uint64), np.diff(at))
+            # groups end before these rows
+            i = 0
+            for j in np.flatnonzero(np.diff(g, prepend=last)):
+                if many + at[j] - at[i] >= _HELD:
+                    held.append((block[at[i] : at[j]], lines[at[i] : at[j]]))
+                    yield rows(held)
+                    held, many, i = [], 0, j
+            held.append((block[at[i] :], lines[at[i] :].copy()))
+            many += int(at[-1] - at[i])
+            last = g[-1] if len(g) else last
+        if many:
+            yield rows(held)
 
     return run
 
@@ -282,23 +345,29 @@ def _candidates(bits: int, blocks: list[int], similarity: float):
             a, b, far = a[keep], b[keep], far[keep]
             yield pa.record_batch([pa.array(np.minimum(h1[a], h1[b])), pa.array(np.maximum(h1[a], h1[b])), pa.array(far.astype(np.int32))], names=["a", "b", "apart"])
 
-        # rows meet the rows behind them in blocks, of which what lies beyond a row's last partner is taken out
+        # rows meet the rows behind them in blocks, of which what lies beyond a row's last partner is taken out;
+        # all in the same memory, as new pages cost more than counting bits
         found, many, i = [], 0, 0
+        both, bits_u, bits_v, close = (np.empty(_CELLS, kind) for kind in (np.uint64, np.uint8, np.uint8, bool))
         while i < n:
             if upto[i] - i < 2:  # on to the next row that has a partner
                 more = upto[i : i + 4096] - np.arange(i, min(n, i + 4096)) > 1
                 i += int(more.argmax()) if more.any() else len(more)
                 continue
-            end = min(n, i + int(min(64, max(16, upto[i] - i))))
+            end = min(n, i + 64)
             last = int(upto[end - 1])
             for c in range(i + 1, last, _CELLS // 64):
                 d = min(last, c + _CELLS // 64)
-                pairs = max(two[i:end].max(), two[c:d].max())
+                pairs = two[i:d].max() if c == i + 1 else max(two[i:end].max(), two[c:d].max())
                 # word pairs tell lines of one vocabulary apart, if there are enough of them
                 u, v, most_far = (s3, s4, pairs) if pairs < PAIR_BITS else (s1, s2, max(one[i:end].max(), one[c:d].max()))
-                far = popcount(u[i:end, None] ^ u[c:d])
-                far += popcount(v[i:end, None] ^ v[c:d])
-                hit = np.flatnonzero(far.reshape(-1) <= most_far)
+                cells = (end - i) * (d - c)
+                x, far, rest, hit = both[:cells], bits_u[:cells], bits_v[:cells], close[:cells]
+                grid = x.reshape(end - i, d - c)
+                np.bitwise_count(np.bitwise_xor(u[i:end, None], u[c:d], out=grid).reshape(-1), out=far)
+                np.bitwise_count(np.bitwise_xor(v[i:end, None], v[c:d], out=grid).reshape(-1), out=rest)
+                far += rest
+                hit = np.less_equal(far, most_far, out=hit).nonzero()[0]
                 if len(hit):
                     x, y = np.divmod(hit, d - c)
                     x, y = x + i, y + c
@@ -338,12 +407,14 @@ def _candidates(bits: int, blocks: list[int], similarity: float):
 def candidate_pairs(nodes: DataFrame, n_nodes: int, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, apart) line hashes and their distance, each pair once, from nodes(h1, s1, s2, s3, s4, size, words)."""
     bits, blocks = key_plan(n_nodes)
+    groups = group_count(n_nodes)
+    compare, in_order = _candidates(bits, blocks, similarity), _sorted(bits, groups)
     return (
         nodes.select("size", "words", "h1", "s1", "s2", "s3", "s4")
-        .mapInArrow(lean(_spread(bits, blocks)), "k long, h1 long, s1 long, s2 long, s3 long, s4 long")
-        .repartition(F.shiftright("k", _LOW))
-        .sortWithinPartitions("k")
-        .mapInArrow(lean(_candidates(bits, blocks, similarity)), "a long, b long, apart int")
+        .mapInArrow(lean(_spread(bits, blocks, groups)), "g long, lines binary")
+        .repartition("g")
+        .sortWithinPartitions("g")
+        .mapInArrow(lean(lambda batches: compare(in_order(batches))), "a long, b long, apart int")
     )
 
 
@@ -398,9 +469,10 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARIT
         lines.filter("__line >= 0")
         .groupBy("h1", "h2")
         # columns of any one occurrence, of the same one: hash aggregation without a sort
-        .agg(*[F.first(c).alias(c) for c in ("s1", "s2", "s3", "s4", "size", "words", "__rid", "__line")], F.count(F.lit(1)).alias("n"))
+        .agg(*[F.first(c).alias(c) for c in ("s1", "s2", "s3", "s4", "size", "words", "__rid", "__line")], F.count(F.lit(1)).alias("n")),
+        (*HASHES, "__rid"),
     )
-    pairs = cut(candidate_pairs(nodes, nodes.count(), similarity))
+    pairs = cut(candidate_pairs(nodes, nodes.count(), similarity), ("a", "b"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     want = cut(nodes.select("h1", "__rid", "__line").join(wanted, "h1").groupBy("__rid").agg(F.collect_list(F.struct("__line", "h1")).alias("__want")))
     found = _rows(docs).join(sized(want), "__rid").select("__text", "__want").mapInArrow(lean(_fetch), "h long, line string")
@@ -441,7 +513,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARIT
 def decisions(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(__rid, __drop = lines that leave, __left = compared lines that stay, __rows) of the
     documents that lose a line or have several rows, a written table."""
-    lines = cut(signed_lines(docs, min_words))
+    lines = cut(signed_lines(docs, min_words), HASHES)
     groups = line_groups(docs, lines, similarity)
     own = F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__rid").alias("rid"), F.col("__line").alias("line"))
     again = cut(lines.filter("__line >= 0").join(groups, ["h1", "h2"]).select("__group", "__rid", "__line", own.alias("__own")))
