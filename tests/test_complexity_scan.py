@@ -27,3 +27,11 @@ def test_tokens_in_one_scan(spark):
     out = df.select("t", tx.complexity_tokens(F.col("t")).alias("n"))
     assert {r["t"]: r["n"] for r in out.collect()} == {t: None if t is None else one_by_one(t) for t in ODD}
     assert scans(df.select(tx.complexity_tokens(F.col("t")))) <= 2
+
+
+def test_complexity_without_strings_in_three_scans(spark):
+    code = ["if (a) { // else if\n} else if (b && '? if') {}", 'x ? "a ?? b" : `c && d` # or\nwhile', "", "else\n\nif => 'unterminated || if"]
+    df = spark.createDataFrame([(t,) for t in code], "t string")
+    out = df.select("t", tx.strip_strings_and_comments(F.col("t")).alias("bare"), tx.cyclomatic_complexity(F.col("t")).alias("n"))
+    assert [r["n"] for r in out.collect()] == [1 + one_by_one(r["bare"]) for r in out.collect()] == [5, 3, 1, 4]
+    assert scans(df.select(tx.cyclomatic_complexity(F.col("t")))) <= 2
