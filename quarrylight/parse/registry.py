@@ -72,11 +72,13 @@ def _schema() -> pa.Schema:
 
 #: Rows that are turned to Arrow at once.
 _ROWS = 256
+#: Tasks for each core, where files are dealt out anew.
+_PER_CORE = 4
 
 
 def parse_files(files: DataFrame) -> DataFrame:
     """The parsed table (model.PARSED) of ``files``(file_path, content): one row each, in Arrow
-    batches, without a shuffle. A null content counts as empty, a null path has no language."""
+    batches. A null content counts as empty, a null path has no language."""
     added = {k: v for k, v in PARSERS.items() if getattr(v, "__module__", "").split(".")[0] != __name__.split(".")[0]}
     known = dict(EXTENSIONS)
 
@@ -96,7 +98,15 @@ def parse_files(files: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("file_path", "content").mapInArrow(run, PARSED)
+    return _dealt(files.select("file_path", "content")).mapInArrow(run, PARSED)
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """The rows over all cores. Parsing costs far more than reading: a table that is small as a file,
+    or comes in few row groups, would be parsed by one or two tasks."""
+    spark = files.sparkSession
+    tasks = max(_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(tasks, "file_path", "content")
 
 
 # -- fact tables of the parsed table --
