@@ -59,20 +59,21 @@ def call_nodes(functions: DataFrame, dead: DataFrame, entries: DataFrame) -> Dat
 
 
 def entry_points(functions: DataFrame, root: str = "") -> DataFrame:
-    """(name, file_path, start_line, type, description, language), the first of a name in a file."""
+    """(name, file_path, start_line, type, description, language), the first of a name in a file. A
+    server file has the language of the first function that serves."""
     path = F.col("file_path")
     rel = F.when(path.startswith(root + "/"), F.substring(path, len(root) + 2, 1 << 20)).otherwise(path) if root else path
     ep = rules.entry_point_of_function(path, rel, F.col("name"), F.coalesce("is_default_export", F.lit(False)))
-    by_fn = functions.withColumn("ep", ep).filter("ep is not null").select("name", "file_path", "start_line", "ep.*", "language", F.lit(1).alias("kind"), "fn_ord")
+    by_fn = functions.withColumn("ep", ep).filter("ep is not null").select("name", "file_path", "start_line", "ep.*", "language", F.lit(1).alias("kind"), "fn_ord", F.lit(None).cast("long").alias("serves"))
     base = paths.basename(path)
     serving = functions.filter(F.lower(base).isin(*rules.SERVER_FILES) & (F.col("language") != "unknown") & F.lower("name").isin(*rules.SERVER_FUNCTIONS))
-    by_file = serving.groupBy("file_path", "language").agg(F.count(F.lit(1)).alias("n")).select(
+    by_file = serving.groupBy("file_path", "language").agg(F.min("fn_ord").cast("long").alias("serves")).select(
         base.alias("name"), "file_path", F.lit(1).alias("start_line"), F.lit("server").alias("type"),
-        F.concat(base, F.lit(" - HTTP server entry point")).alias("description"), "language", F.lit(0).alias("kind"), F.lit(0).alias("fn_ord"),
+        F.concat(base, F.lit(" - HTTP server entry point")).alias("description"), "language", F.lit(0).alias("kind"), F.lit(0).alias("fn_ord"), "serves",
     )
-    first = Window.partitionBy("name", "file_path").orderBy("kind", "fn_ord")
+    first = Window.partitionBy("name", "file_path").orderBy("kind", "fn_ord", "serves", "language")
     found = by_fn.withColumn("fn_ord", F.col("fn_ord").cast("long")).unionByName(by_file.withColumn("fn_ord", F.col("fn_ord").cast("long")))
-    return found.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "kind", "fn_ord")
+    return found.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "kind", "fn_ord", "serves")
 
 
 def file_complexity(functions: DataFrame) -> DataFrame:
